@@ -130,10 +130,13 @@ def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[slice, n
         i = j
 
 
-def segment(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, rows: slice) -> Words:
+def segment(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, rows: slice, cuts: np.ndarray | None = None) -> Words:
+    """Words are runs of bytes that don't separate; ``cuts`` are places that end one and begin another."""
     inside = ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[:1], before[1:] = False, inside[:-1]
     after[-1:], after[:-1] = False, inside[1:]
