@@ -98,6 +98,6 @@ def test_stage_keeps_columns_and_one_of_each_group(spark):
 
 def test_give_up_bounds():
     spec = nd.NearDedup()
-    steps = nd.least_matches(spec)
-    assert steps[-1][0] == spec.size and all(0 <= m <= n for n, m in steps)
-    assert nd._binomial_tail(spec.size, 0.8, steps[-1][1]) > 1 - 1e-4  # a pair at the threshold stays
+    steps = nd.least_matches(spec, spec.long)
+    assert steps[-1][0] == spec.long and all(0 <= m <= n for n, m in steps)
+    assert nd._binomial_tail(spec.long, 0.8, steps[-1][1]) > 1 - 1e-4  # a pair at the threshold stays

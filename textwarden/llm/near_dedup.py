@@ -2,10 +2,11 @@
 
 Texts are sets of distinct word shingles (64-bit hashes). Documents of equal sets collapse to their
 smallest id first, so thousands of copies cost one row. The rest is banded; in each bucket all members
-are compared with the bucket's smallest member, and members that this leaves in different components
-are compared with each other in blocks, so that no link is lost. A candidate pair is compared one batch of
-signature values at a time and given up as soon as the posterior probability of a similarity at or over
-the threshold falls below ``miss``; survivors are verified exactly on their full shingle sets.
+are compared with its most central member, the hub. Members of one hub's buckets that this leaves in
+different components are compared with each other, on longer signatures and in blocks, so that no link is
+lost; pairs are not made into rows before they pass. A candidate pair is compared one batch of signature
+values at a time and given up as soon as the posterior probability of a similarity at or over the
+threshold falls below ``miss``; survivors are verified exactly on their full shingle sets.
 
 Cases: null and empty texts have no set and link with nothing; texts shorter than a shingle are one shingle
 of all their words; rows with a null id are returned as they are, with no component of their own
@@ -37,8 +38,9 @@ class NearDedup:
     bands: int = 24
     rows: int = 4
     batch: int = 16  # signature values compared at a time
-    miss: float = 1e-6  # posterior probability at which a pair is given up
-    block: int = 256  # members of a bucket compared at once in the second pass
+    miss: float = 1e-5  # posterior probability at which a pair is given up
+    long: int = 512  # signature values in the second pass
+    block: int = 1024  # members compared at once in the second pass
 
     @property
     def size(self) -> int:
@@ -49,14 +51,14 @@ def _binomial_tail(n: int, p: float, least: int) -> float:
     return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
 
 
-def least_matches(spec: NearDedup) -> list[tuple[int, int]]:
+def least_matches(spec: NearDedup, size: int) -> list[tuple[int, int]]:
     """(values compared, matches a pair must have by then to go on).
 
     With a uniform prior the similarity after m of n matches has the posterior Beta(m + 1, n - m + 1), whose
     mass over t is P(Binomial(n + 1, t) <= m).
     """
     t, out = spec.percent / 100, []
-    for n in range(spec.batch, spec.size + 1, spec.batch):
+    for n in range(spec.batch, size + 1, spec.batch):
         m = next(m for m in range(n + 1) if 1 - _binomial_tail(n + 1, t, m + 1) >= spec.miss)
         out.append((n, m))
     return out
@@ -75,18 +77,18 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * n + 1, dtype=U) * U(0xD6E8FEB86659FD93))
-    return x[:n] | U(1), x[n:]
+def _seeds(n: int) -> np.ndarray:
+    x = mix(np.arange(1, 2 * n + 1, dtype=U) * U(0xD6E8FEB86659FD93)).reshape(n, 2)
+    return x | np.array([1, 0], U)
 
 
 def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
-    """(sets, size) uint32; sets must not be empty."""
+    """(sets, size) uint16, the low halves of minima; sets must not be empty. Longer ones begin like shorter ones."""
     flat = np.concatenate(sets)
     at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))[:-1]
-    out = np.empty((len(sets), size), np.uint32)
-    for k, (a, b) in enumerate(zip(*_seeds(size), strict=True)):
-        out[:, k] = np.minimum.reduceat(((flat * a) + b) >> U(32), at)
+    out = np.empty((len(sets), size), np.uint16)
+    for k, (a, b) in enumerate(_seeds(size)):
+        out[:, k] = np.minimum.reduceat(((flat * a) + b) >> U(32), at).astype(np.uint16)
     return out
 
 
@@ -111,6 +113,23 @@ def _sketch(spec: NearDedup):
     return run
 
 
+def _sketches(docs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
+    """(id, sig): long signatures of docs (id, text), one for each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in word_groups(b.column(1), SPACES):
+                sets = shingle_sets(w, spec.shingle)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    sig = signatures([sets[i] for i in full], spec.long)
+                    ids = b.column(0).slice(w.rows.start, len(sets)).take(pa.array(full))
+                    yield pa.record_batch([ids, pa.array([_fingerprint(sets[i]) for i in full], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "f1", "sig"])
+
+    made = docs.mapInArrow(run, "id long, f1 long, sig binary")
+    return made.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
+
+
 def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
     """Indices of the pairs (rows of a and b) that no batch gives up."""
     alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
@@ -124,12 +143,12 @@ def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, size)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, size)
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
     """The pairs (a, b) that pass all signature batches."""
-    steps = least_matches(spec)
+    steps = least_matches(spec, spec.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,21 +183,23 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup)
 
 
 def _rest(spec: NearDedup):
-    """Of one block pair of a bucket: pairs of different components that pass all signature batches."""
-    steps = least_matches(spec)
+    """Of two blocks of one hub's members: pairs of different components that pass all signature batches."""
+    steps = least_matches(spec, spec.long)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps = (table.column(c).combine_chunks().to_numpy() for c in ("id", "component"))
-        low = table.column("block").combine_chunks().to_numpy() == table.column("p").combine_chunks().to_numpy()
-        one = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        sig = _matrix(table.column("sig").combine_chunks(), spec.size)
-        xs, ys = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(low), np.flatnonzero(~low))
-        found = []
+        ids, comps, block = (table.column(c).combine_chunks().to_numpy() for c in ("id", "component", "block"))
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        sig = _matrix(table.column("sig").combine_chunks(), spec.long)
+        xs, ys = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        a, b = [], []
         for x in xs.tolist():
-            other = ys[(comps[ys] != comps[x]) & ((ids[ys] > ids[x]) | (not one))]
+            other = ys[(comps[ys] != comps[x]) & ((ids[ys] > ids[x]) if p == q else True)]
             if len(other):
-                found += [(ids[x], ids[y]) for y in other[_survives(np.broadcast_to(sig[x], (len(other), spec.size)), sig[other], steps)].tolist()]
-        return pa.table([pa.array([int(min(p)) for p in found], pa.int64()), pa.array([int(max(p)) for p in found], pa.int64())], ["a", "b"])
+                found = other[_survives(np.broadcast_to(sig[x], (len(other), spec.long)), sig[other], steps)]
+                a.append(np.minimum(ids[x], ids[found]))
+                b.append(np.maximum(ids[x], ids[found]))
+        none = np.empty(0, np.int64)
+        return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
     return run
 
@@ -200,21 +221,30 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str
             m = _matrix(b.column(1), spec.size).reshape(b.num_rows, spec.bands, spec.rows).astype(U)
             key = np.broadcast_to(np.arange(1, spec.bands + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F), (b.num_rows, spec.bands))
             for k in range(spec.rows):
-                key = mix(key * U(0x9E3779B97F4A7C15) + m[:, :, k])
+                key = mix(key * U(0x9E3779B97F4A7C15) + m[:, :, k] + U(1))
             yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), spec.bands)), pa.array(key.ravel().view(np.int64))], ["id", "bucket"])
 
     banded = sigs.select("id", "sig").mapInArrow(band, "id long, bucket long")
-    hubs = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(banded.join(hubs, "bucket").select("id", "bucket", "hub", "size"), "buckets")
-    stars = stored(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    # The hub of a bucket is the member whose buckets hold the most members in all: of a group of near
+    # copies, most likely the text that the others were made from.
+    banded = stored(banded, "bands")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(banded.join(sizes, "bucket"), "shared")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    shared = shared.join(weight, "id")
+    hubs = shared.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("hub"))
+    buckets = stored(shared.select("id", "bucket", "size").join(hubs, "bucket"), "buckets")
+    stars = stored(buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
     first = stored(verify(stored(prune(stars, sigs, spec), "survivors"), docs, sigs, spec), "links")
-    # Second pass: bucket members that the stars left apart, in blocks of bounded size.
+    # Second pass: members of a hub's buckets that the stars left apart, in blocks of bounded size.
     labels = stored(components(first), "labels")
-    placed = buckets.where("size > 2").join(labels, "id", "left").select("id", "bucket", "size", F.coalesce("component", "id").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_ = placed.join(apart, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("size") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "bucket", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rest = tasks.join(sigs, "id").groupBy("bucket", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
+    groups = buckets.where("size > 2").select("hub", "id").distinct().join(labels, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
+    apart = groups.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("hub", "size")
+    blocks = F.ceil(F.col("size") / spec.block).cast("int")
+    members_of = stored(groups.join(apart, "hub").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "apart")
+    tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    long = stored(_sketches(docs.join(members_of.select("id").distinct(), "id", "left_semi"), sigs, spec), "long")
+    rest = tasks.join(long, "id").groupBy("hub", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     second = verify(rest, docs, sigs, spec)
     final = components(first.unionByName(second).unionByName(members))

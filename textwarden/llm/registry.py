@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality_rules
+from . import decontaminate, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_pack": packing.op8_pack,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
