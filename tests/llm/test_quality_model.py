@@ -30,7 +30,7 @@ def test_contexts_equal_brute_force():
     dims, signs = qm._index(np.arange(qm.UNITS))
     want, n = np.zeros((qm.UNITS, qm.DIMS)), np.zeros(qm.UNITS)
     for t in texts:
-        for w in qm.groups(pa.array([t])):
+        for w in qm.groups(pa.array([t], pa.string())):
             units = list(zip(*qm._units(qm.segment(w[1], w[2], qm.SPACES, w[0])), strict=True))
             for i, mine in enumerate(units):
                 for u in mine:
