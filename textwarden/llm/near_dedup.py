@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored
+from .store import drop_stored, stored
 from .words import SPACES, U, Words, combine, mix, word_groups
 
 
@@ -161,6 +161,16 @@ def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+#: Ids that are sent to all tasks at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of ``ids`` (distinct). Few ids go to the texts; if they are many, both are shuffled."""
+    ids = stored(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")
+
+
 def _fingerprint(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=U).astype(np.int64))
 
@@ -175,7 +185,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup)
                 yield pa.record_batch([b.column(0).slice(w.rows.start, len(found)), pa.array([_fingerprint(s) if len(s) else None for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "f1", "shingles"])
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, f1 long, shingles array<long>")
+    full = _texts_of(docs, ids).mapInArrow(sets, "id long, f1 long, shingles array<long>")
     full = stored(full.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]), "shingles")
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
@@ -230,6 +240,7 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str
     banded = stored(banded, "bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(banded.join(sizes, "bucket"), "shared")
+    drop_stored(banded)
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     shared = shared.join(weight, "id")
     hubs = shared.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("hub"))
@@ -243,7 +254,7 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str
     blocks = F.ceil(F.col("size") / spec.block).cast("int")
     members_of = stored(groups.join(apart, "hub").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "apart")
     tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    long = stored(_sketches(docs.join(members_of.select("id").distinct(), "id", "left_semi"), sigs, spec), "long")
+    long = stored(_sketches(_texts_of(docs, members_of.select("id").distinct()), sigs, spec), "long")
     rest = tasks.join(long, "id").groupBy("hub", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     second = verify(rest, docs, sigs, spec)
