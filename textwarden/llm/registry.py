@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, packing, quality_rules
+from . import decontaminate, language_model, near_dedup, packing, quality_model, quality_rules, token_files
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_quality_model": quality_model.op2_quality_model,
+    "op3_token_files": token_files.op3_token_files,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_pack": packing.op8_pack,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_language_model": language_model.op10_language_model,
 }
 ORACLE_SQL: dict[str, str] = {}
