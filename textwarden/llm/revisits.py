@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 SLICES = 1024
 # Header fields that a 304 renews.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -69,7 +71,8 @@ def as_of(points: DataFrame) -> DataFrame:
 
 def resolve(records: DataFrame) -> DataFrame:
     """Every revisit: record_id, canonical_url, ts, target_id, verdict and the merged headers (null unless resolved)."""
-    r = records.select("record_id", canonical_url(F.col("url")).alias("key"), "ts", "status", "headers")
+    # Four plans read these columns; written once, URLs and whatever the records come from are worked out once.
+    r = stored(records.where("status in (200, 304)").select("record_id", canonical_url(F.col("url")).alias("key"), "ts", "status", "headers"), "records")
     full, visits = r.where("status = 200"), r.where("status = 304")
     usable = "key is not null and ts is not null"
     points = full.where(usable).groupBy("key", "ts").agg(F.max("record_id").alias("id")).unionByName(visits.where(usable).select("key", "ts", F.lit(None).cast("long").alias("id")))
