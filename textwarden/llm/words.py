@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U = np.uint64
 #: Text bytes handled at once; a longer single text is one group.
-GROUP_BYTES = 4 << 20
-_PIECE = 4 << 20
+GROUP_BYTES = 1 << 20
+_PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
