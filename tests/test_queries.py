@@ -1,0 +1,36 @@
+"""Every query against its SQL in DuckDB, on the smallest tables."""
+
+import duckdb
+import pytest
+
+from textwarden import queries as q
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", list(q.QUERIES))
+def test_equals_sql(spark, con, name):
+    df = q.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    if name not in q.ORACLE:
+        assert got
+        return
+    out = con.execute(q.ORACLE[name])
+    names = [d[0] for d in out.description]
+    assert sorted(names) == columns
+    assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in out.fetchall()), key=str)
+
+
+def test_each_oracle_has_a_query():
+    assert set(q.ORACLE) <= set(q.QUERIES)

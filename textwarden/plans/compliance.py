@@ -18,8 +18,9 @@ AUDIT_LOG = "Audit log with timestamps"
 
 def verdicts(df: DataFrame, results: str, order: str) -> DataFrame:
     """One row for each result of an array column: seq by the rows' ``order`` and the place in the array."""
-    rows = df.select(F.col(order).alias("o"), F.posexplode(results).alias("k", "r"))
-    return rows.select(F.struct("o", "k").alias("seq"), "r.check_name", "r.passed", "r.score", "r.severity", "r.owasp_refs", "r.matched_patterns")
+    # The outer form: the inner one would put a filter on the array's size before it, and work every check out twice.
+    rows = df.select(F.col(order).alias("o"), F.posexplode_outer(results).alias("k", "r"))
+    return rows.where("r is not null").select(F.struct("o", "k").alias("seq"), "r.check_name", "r.passed", "r.score", "r.severity", "r.owasp_refs", "r.matched_patterns")
 
 
 def grade(score: Column) -> Column:
@@ -42,7 +43,7 @@ def owasp_findings(rows: DataFrame) -> DataFrame:
 
 def owasp_posture(findings: DataFrame) -> DataFrame:
     a = findings.agg(F.avg("risk_score").alias("r"), F.count_if("compliant").alias("compliant_categories"), F.count("*").alias("total_categories"), F.array_sort(F.collect_list(F.when(F.col("risk_score") >= 0.7, F.col("category_id")))).alias("high_risk_categories"))
-    score = F.coalesce(rounded(F.greatest(F.lit(0.0), (F.lit(1.0) - F.col("r")) * 100), 1), F.lit(100.0))
+    score = F.when(F.col("r").isNull(), 100.0).otherwise(rounded(F.greatest(F.lit(0.0), (F.lit(1.0) - F.col("r")) * 100), 1))
     return a.select(score.alias("score"), grade(score).alias("grade"), "compliant_categories", "total_categories", "high_risk_categories")
 
 
@@ -111,7 +112,7 @@ def nist_findings(rows: DataFrame, audit_log: bool = True, monitoring: bool = Tr
 def blocked_rollup(guarded: DataFrame, guard: str = "guard") -> DataFrame:
     """Hits of each check over guarded texts, by the names that checks emit: check_name, hits, share of all texts, level."""
     total = guarded.agg(F.count("*").alias("total"))
-    hits = guarded.select(F.explode(f"{guard}.blocked_by").alias("check_name")).groupBy("check_name").agg(F.count("*").alias("hits"))
+    hits = guarded.select(F.explode_outer(f"{guard}.blocked_by").alias("check_name")).where("check_name is not null").groupBy("check_name").agg(F.count("*").alias("hits"))
     share = F.col("hits") / F.col("total")
     level = F.when(share < 0.3, "compliant").when(share < 0.5, "medium").otherwise("high")
     return hits.join(F.broadcast(total), F.lit(True)).select("check_name", "hits", rounded(share, 3).alias("share"), level.alias("level"))

@@ -18,10 +18,19 @@ PHRASES = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores: pattern searches cost far more than moving a few MB.
+
+    A table that is read in as many partitions as there are cores, as any large one is, stays where it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text of all documents."""
     phrases = spark.createDataFrame(list(enumerate(PHRASES)), "pid long, phrase string")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.join(F.broadcast(phrases), F.col("doc_id") % len(PHRASES) == F.col("pid")).select("doc_id", F.concat("phrase", F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
 
 

@@ -16,7 +16,7 @@ from .operators import models as m
 from .operators.base import RANK, Check
 from .plans import catalog
 from .plans import compliance as comp
-from .plans.corpus import SEEDED_SQL, quoted, seeded
+from .plans.corpus import SEEDED_SQL, quoted, seeded, spread
 from .plans.guards import ChainGuard, OnFail, ParallelGuard
 from .sources import evidence as ev
 from .sources import requests as req
@@ -94,8 +94,8 @@ def rule_counts(rules_of: Callable[[Column], Column], name: str, hits: str, labe
     """How many texts each rule fires on: the rule join, pre-aggregated."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        labels = F.explode(F.transform(rules_of(F.col("text")), lambda h: h["label"]))
-        return seeded(spark, sf).select(labels.alias(label)).groupBy(label).agg(F.count("*").alias("n"))
+        labels = F.explode_outer(F.transform(rules_of(F.col("text")), lambda h: h["label"]))
+        return seeded(spark, sf).select(labels.alias(label)).where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
 
     QUERIES[name] = run
     ORACLE[name] = f"WITH {SEEDED_SQL}, h AS (SELECT unnest(list_transform({hits}, lambda x: x.l)) AS {label} FROM seeded) SELECT {label}, count(*) AS n FROM h GROUP BY 1"
@@ -124,7 +124,7 @@ def pii_found(text: Column) -> Column:
 
 
 def pii_types(spark: SparkSession, sf: str) -> DataFrame:
-    rows = seeded(spark, sf).select("doc_id", F.explode(pii_found(F.col("text"))).alias("h"))
+    rows = seeded(spark, sf).select("doc_id", F.explode_outer(pii_found(F.col("text"))).alias("h")).where("h is not null")
     return rows.select("doc_id", F.col("h.type").alias("type"), F.col("h.severity").alias("severity"), F.col("h.count").cast("long").alias("n"), F.col("h.sample").alias("sample"))
 
 
@@ -163,7 +163,7 @@ def simple(condition: str, source: str, key: str, severity: str, score: str = "1
     return f"WITH {SEEDED_SQL} SELECT {key}, {condition} AS passed, CASE WHEN {condition} THEN 'low' ELSE '{severity}' END AS severity, CASE WHEN {condition} THEN 0.0::DOUBLE ELSE {score} END AS score FROM {source}"
 
 
-docs = table("documents")
+docs = lambda spark, sf: spread(table("documents")(spark, sf))
 verdict_query("fmt_length", f.ValidLength(100, 2000), docs, "doc_id", "text", simple("len(text) BETWEEN 100 AND 2000", "documents", "doc_id", "medium"))
 verdict_query("fmt_choices", f.ValidChoices(["EN", "fr"]), docs, "doc_id", "lang", simple("lower(lang) IN ('en', 'fr')", "documents", "doc_id", "medium"))
 verdict_query("fmt_regex", f.RegexMatch(r"#0000000[0-4]\d\b"), table("customer"), "c_custkey", "c_name", simple(r"regexp_matches(c_name, '#0000000[0-4]\d\b')", "customer", "c_custkey", "medium"))

@@ -66,5 +66,5 @@ def sessions_with_failures(evidence: DataFrame) -> DataFrame:
 
 def rollup(evidence: DataFrame) -> DataFrame:
     """Counts by direction and check, with subtotals."""
-    each = evidence.select("direction", F.explode("checks").alias("c"))
+    each = evidence.select("direction", F.explode_outer("checks").alias("c")).where("c is not null")
     return each.rollup("direction", F.col("c.check_name").alias("check_name")).agg(F.count("*").alias("n"), F.count_if(~F.col("c.passed")).alias("failed"), F.max("c.score").alias("top_score"))
