@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, language_model, near_dedup, packing, personal_data, quality_model, quality_rules, revisits, sharding, token_files
+from .oracle import ORACLE_SQL
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,5 +17,5 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_language_model": language_model.op10_language_model,
 }
-#: SQL for what it can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op4_revisits": revisits.OP4_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
