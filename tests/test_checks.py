@@ -188,3 +188,11 @@ def test_models(spark):
     assert scores(run(spark, m.SemanticSimilarity(by_length), ["abcdefgh", "abc"])) == [(False, 0.8, "high"), (True, 0.3, "low")]
     window = spark.range(1).select(m.intent_window(F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))), F.lit("yo"), 17).alias("w")).first().w
     assert window == "[user] hi\n[user] yo"[-17:]
+
+
+def test_own_checks(spark):
+    from textwarden.operators.custom import ArrowCheck, ColumnCheck
+
+    assert scores(run(spark, ColumnCheck("long", lambda t: F.length(t) / 10.0, severity="high"), ["abc", "abcdefg"])) == [(True, 0.3, "low"), (False, 0.7, "high")]
+    got = run(spark, ArrowCheck("odd", lambda t: 1 / len(t)), ["", "a", "abc"])
+    assert got[0] is None and scores(got[1:]) == [(False, 1.0, "medium"), (True, 1 / 3, "low")]

@@ -74,3 +74,7 @@ CATALOGUE = [
     ("bias_check", "Bias Check", "RULE", ["BRAND RISK", "ETIQUETTE"], ["CHATBOTS", "CUSTOMER SUPPORT", "RAG"], ["STRING"], ["LLM08"], ["Article 9", "Article 10"]),
     ("reading_level", "Reading Level", "RULE", ["ETIQUETTE"], ["CHATBOTS", "SUMMARIZATION"], ["STRING"], [], ["Article 13"]),
 ]
+
+#: What the live roll-up counts: (check, OWASP id), and (article, checks).
+LIVE_OWASP = [("prompt_injection", "LLM01"), ("pii_detection", "LLM06"), ("toxicity", "LLM02"), ("hallucination_risk", "LLM09"), ("insecure_output", "LLM02")]
+LIVE_EU = [("Article 9", ["prompt_injection", "toxicity"]), ("Article 10", ["pii_detection"]), ("Article 12", []), ("Article 13", ["hallucination_risk", "pii_detection", "toxicity"]), ("Article 14", []), ("Article 15", ["prompt_injection", "insecure_output"]), ("Article 17", [])]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import EU_ARTICLES, MATURITY, NIST_FUNCTIONS, OWASP
+from ..functions.tables import EU_ARTICLES, LIVE_EU, LIVE_OWASP, MATURITY, NIST_FUNCTIONS, OWASP
 from ..functions.text import rounded
 
 AUDIT_LOG = "Audit log with timestamps"
@@ -116,3 +116,29 @@ def blocked_rollup(guarded: DataFrame, guard: str = "guard") -> DataFrame:
     share = F.col("hits") / F.col("total")
     level = F.when(share < 0.3, "compliant").when(share < 0.5, "medium").otherwise("high")
     return hits.join(F.broadcast(total), F.lit(True)).select("check_name", "hits", rounded(share, 3).alias("share"), level.alias("level"))
+
+
+def live_rollup(guarded: DataFrame, guard: str = "guard") -> DataFrame:
+    """Shares of blocked texts by OWASP category and EU article: framework, key, score, compliant, level.
+
+    OWASP scores are risks (compliant under .3), EU scores their complement (compliant from .7 on). Blocks are counted
+    by the names that checks emit.
+    """
+    spark = guarded.sparkSession
+    blocked = guarded.select(F.explode_outer(f"{guard}.blocked_by").alias("check_name")).where("check_name is not null").groupBy("check_name").agg(F.count("*").alias("hits"))
+    keys = spark.createDataFrame([("owasp", i) for i, _, _ in OWASP] + [("eu", a) for a, *_ in LIVE_EU], "framework string, key string")
+    pairs = spark.createDataFrame([("owasp", k, c) for c, k in LIVE_OWASP] + [("eu", a, c) for a, checks in LIVE_EU for c in checks], "framework string, key string, check_name string")
+    hits = pairs.join(blocked, "check_name").groupBy("framework", "key").agg(F.sum("hits").alias("hits"))
+    rows = keys.join(hits, ["framework", "key"], "left").join(F.broadcast(guarded.agg(F.count("*").alias("total"))), F.lit(True))
+    share = F.least(F.lit(1.0), F.coalesce("hits", F.lit(0)) / F.greatest("total", F.lit(1)))
+    score = F.when(F.col("framework") == "owasp", rounded(share, 3)).otherwise(rounded(F.lit(1.0) - share, 3))
+    made = rows.select("framework", "key", score.alias("score"))
+    good = F.when(F.col("framework") == "owasp", F.col("score") < 0.3).otherwise(F.col("score") >= 0.7)
+    return made.withColumn("compliant", good).withColumn("level", F.when(F.col("framework") == "eu", F.when(F.col("score") < 0.5, "high").when(F.col("score") < 0.8, "medium").otherwise("low")))
+
+
+def live_posture(rollup: DataFrame) -> DataFrame:
+    """Share of compliant keys of each framework, with the live roll-up's own grades."""
+    pct = rounded(F.count_if("compliant") * 100 / F.count("*"), 1)
+    a = rollup.groupBy("framework").agg(pct.alias("score"))
+    return a.withColumn("grade", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").when(F.col("score") >= 70, "C").when(F.col("score") >= 60, "D").otherwise("F"))

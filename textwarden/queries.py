@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules as R
-from .functions.tables import CATALOGUE, EU_ARTICLES, NIST_FUNCTIONS, OWASP
+from .functions.tables import CATALOGUE, EU_ARTICLES, LIVE_EU, LIVE_OWASP, NIST_FUNCTIONS, OWASP
 from .operators import content as k
 from .operators import core as c
 from .operators import formats as f
@@ -346,6 +346,16 @@ NIST_DIM = [(n, checks) for n, _, checks in NIST_FUNCTIONS]
 QUERIES["nist_maturity"] = lambda spark, sf: comp.nist_findings(verdict_rows(spark, sf)).select("ordinal", "function", "maturity_level", "maturity_label", F.map_values("subcategory_scores")[0].alias("subcategory_score"), F.size("recommendations").alias("n_recommendations"))
 ORACLE["nist_maturity"] = f"""WITH {relevant(NIST_DIM)}, x AS (SELECT *, (SELECT bool_or(score >= 0.8) FROM w) AS crit FROM r), l AS (SELECT *, CASE WHEN n = 0 OR crit THEN 1 WHEN mean > 0.5 THEN 2 WHEN mean < 0.3 THEN 3 ELSE 2 END AS maturity_level FROM x)
 SELECT ordinal, key AS function, maturity_level, list_extract(['Initial', 'Managed', 'Defined', 'Optimizing'], maturity_level) AS maturity_label, {py_round('greatest(0.0::DOUBLE, 1.0::DOUBLE - mean)', 2)} AS subcategory_score, (maturity_level < 3)::INT + crit::INT AS n_recommendations FROM l"""
+LIVE = f"""{FOUR}, b AS (SELECT check_name, count(*) AS hits FROM w WHERE NOT passed GROUP BY 1),
+ks AS (SELECT * FROM (VALUES {", ".join([f"('owasp', {quoted(i)})" for i, _, _ in OWASP] + [f"('eu', {quoted(a)})" for a, _ in LIVE_EU])}) AS x(framework, key)),
+ps AS (SELECT * FROM (VALUES {", ".join([f"('owasp', {quoted(i)}, {quoted(n)})" for n, i in LIVE_OWASP] + [f"('eu', {quoted(a)}, {quoted(n)})" for a, ns in LIVE_EU for n in ns])}) AS x(framework, key, check_name)),
+y AS (SELECT framework, key, least(1.0::DOUBLE, coalesce((SELECT sum(hits) FROM ps JOIN b USING (check_name) WHERE ps.framework = ks.framework AND ps.key = ks.key), 0) / (SELECT count(*) FROM documents)::DOUBLE) AS share FROM ks),
+z AS (SELECT framework, key, CASE framework WHEN 'owasp' THEN {py_round('share', 3)} ELSE {py_round('1.0::DOUBLE - share', 3)} END AS score FROM y),
+live AS (SELECT *, CASE framework WHEN 'owasp' THEN score < 0.3 ELSE score >= 0.7 END AS compliant, CASE framework WHEN 'eu' THEN CASE WHEN score < 0.5 THEN 'high' WHEN score < 0.8 THEN 'medium' ELSE 'low' END END AS level FROM z)"""
+QUERIES["demo_rollup"] = lambda spark, sf: comp.live_rollup(guarded(spark, sf))
+ORACLE["demo_rollup"] = f"WITH {LIVE} SELECT * FROM live"
+QUERIES["demo_posture"] = lambda spark, sf: comp.live_posture(comp.live_rollup(guarded(spark, sf)))
+ORACLE["demo_posture"] = f"WITH {LIVE}, a AS (SELECT framework, {py_round('count(*) FILTER (compliant) * 100 / count(*)::DOUBLE', 1)} AS score FROM live GROUP BY 1) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM a"
 
 # ---- conversations, requests, sessions ----
 turns = table("conversations")

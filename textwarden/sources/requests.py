@@ -44,6 +44,11 @@ def chat_prompt(messages: Column) -> Column:
     return F.array_join(F.transform(F.filter(messages, lambda m: m["role"].isin("user", "system")), lambda m: m["content"]), " ")
 
 
+def completion_prompt(body: Column) -> Column:
+    """The prompt of a completion request, whatever its type, as text."""
+    return F.get_json_object(body, "$.prompt")
+
+
 def response_text(body: Column) -> Column:
     """choices[0].message.content where there is a message, else choices[0].text."""
     first = "$.choices[0]"
