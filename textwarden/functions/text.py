@@ -39,11 +39,11 @@ def fold_case(text: Column) -> Column:
 
 def gate(folded: Column, pattern: str) -> Column | None:
     """True wherever a pattern can match, told by plain strings; None if nothing tells."""
-    strings = required(pattern)
-    if not strings:
+    sets = required(pattern)
+    if not sets:
         return None
-    tests = [folded.rlike(r"\p{Nd}") if s == DIGIT else F.contains(folded, F.lit(s)) for s in sorted(strings)]
-    return reduce(lambda a, b: a | b, tests)
+    holds = lambda x: folded.rlike(r"\p{Nd}") if x == DIGIT else F.contains(folded, F.lit(x))
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(holds, sorted(x))) for x in sets])
 
 
 def matches(text: Column, folded: Column, pattern: str, flags: str = "i") -> Column:
