@@ -68,3 +68,9 @@ def rollup(evidence: DataFrame) -> DataFrame:
     """Counts by direction and check, with subtotals."""
     each = evidence.select("direction", F.explode_outer("checks").alias("c")).where("c is not null")
     return each.rollup("direction", F.col("c.check_name").alias("check_name")).agg(F.count("*").alias("n"), F.count_if(~F.col("c.passed")).alias("failed"), F.max("c.score").alias("top_score"))
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """The same append for a stream of evidence rows: exactly once for each micro-batch. Returns the started query."""
+    writer = rows.writeStream.format("parquet").outputMode("append").partitionBy("dt").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

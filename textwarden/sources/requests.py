@@ -110,3 +110,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     inner = F.coalesce(*[F.nullif(F.get_json_object("raw", f"$.{f}"), F.lit("")) for f in ("prompt", "content", "text")])
     return rows.select("path", F.when(F.col("path").endswith(".json"), F.coalesce(inner, "raw")).otherwise(F.col("raw")).alias("text"))
+
+
+def body_stream(spark: SparkSession, path: str) -> DataFrame:
+    """JSON request bodies, one a line, as a stream of (body, prompt); bodies over the size limit are left out, those without a prompt keep a null."""
+    rows = spark.readStream.text(path).select(F.col("value").alias("body"))
+    return rows.where(fits(F.col("body"))).withColumn("prompt", prompt_text(F.col("body")))
