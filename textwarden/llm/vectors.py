@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .words import lean
 
 PART = 4096  # cells of a row
 SCHEMA = "part int, cells binary"
@@ -23,8 +26,9 @@ def vector_rows(vector: np.ndarray) -> pa.RecordBatch:
 def summed(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of all vectors of ``size`` cells in (part, cells) rows.
 
-    Parts meet on the executors, each partition adding batch by batch in the memory of its own parts;
-    the driver gets one vector, whose size is fixed by the caller's parameters and not by the data.
+    Parts meet on the executors in two levels, first among some of the tasks that made them, then all of a part,
+    each partition adding batch by batch in the memory of its own parts; the driver gets one vector, whose
+    size is fixed by the caller's parameters and not by the data.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,8 +40,10 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "cells"])
 
     n = max(1, min(64, -(-size // (16 * PART))))
+    some = max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    near = rows.withColumn("task", F.spark_partition_id()).repartition(some, "part", "task").select("part", "cells").mapInArrow(lean(add), SCHEMA)
     out = np.zeros(-(-size // PART) * PART)
-    for row in rows.repartition(n, "part").mapInArrow(add, SCHEMA).collect():
+    for row in near.repartition(n, "part").mapInArrow(lean(add), SCHEMA).collect():
         x = np.frombuffer(row.cells, np.float64)
         out[row.part * PART : row.part * PART + len(x)] += x
     return out[:size]

@@ -6,7 +6,8 @@ Everything works on the UTF-8 bytes of whole texts. A null text is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,6 +151,46 @@ def word_groups(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool =
         yield segment(LOWER[data] if lower else data, offsets, separators, rows)
 
 
+#: Rows of an Arrow batch at most: whole texts make batches large on both sides of the socket.
+BATCH_ROWS = 2000
+
+
+#: What operators keep in a worker from task to task, and how to drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def _begin(holds: str | None) -> None:
+    """Drop what other operators have left in this worker."""
+    for name, drop in HELD.items():
+        if name != holds:
+            drop()
+
+
+def _end() -> None:
+    """Give freed memory back: workers stay for later tasks, and so does what their allocators keep."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose batches are small and whose worker keeps little; ``holds`` names what stays in HELD."""
+    from pyspark.sql import SparkSession
+
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(holds)
+        yield from run(batches)
+        _end()
+
+    return partition
+
+
 def crc32_mod5(spark_column):
     """crc32 of an id written as text, modulo 5 (a Column)."""
     from pyspark.sql import functions as F
