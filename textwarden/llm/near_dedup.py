@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import drop_stored, stored
-from .words import SPACES, U, Words, combine, mix, word_groups
+from .words import SPACES, U, Words, combine, lean, mix, word_groups
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def _sketches(docs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
                     ids = b.column(0).slice(w.rows.start, len(sets)).take(pa.array(full))
                     yield pa.record_batch([ids, pa.array([_fingerprint(sets[i]) for i in full], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "f1", "sig"])
 
-    made = docs.mapInArrow(run, "id long, f1 long, sig binary")
+    made = docs.mapInArrow(lean(run), "id long, f1 long, sig binary")
     return made.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
 
 
@@ -158,7 +158,7 @@ def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
                 yield pa.record_batch([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
     both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 #: Ids that are sent to all tasks at most; more of them are joined by a shuffle.
@@ -185,7 +185,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup)
                 yield pa.record_batch([b.column(0).slice(w.rows.start, len(found)), pa.array([_fingerprint(s) if len(s) else None for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "f1", "shingles"])
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = _texts_of(docs, ids).mapInArrow(sets, "id long, f1 long, shingles array<long>")
+    full = _texts_of(docs, ids).mapInArrow(lean(sets), "id long, f1 long, shingles array<long>")
     full = stored(full.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]), "shingles")
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
@@ -217,7 +217,7 @@ def _rest(spec: NearDedup):
 def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketched = stored(docs.mapInArrow(_sketch(spec), "id long, n long, f1 long, f2 long, sig binary"), "sketch")
+    sketched = stored(docs.mapInArrow(lean(_sketch(spec)), "id long, n long, f1 long, f2 long, sig binary"), "sketch")
     known = sketched.where("id is not null and n > 0")
     # One row for each distinct set; a repeated id with different texts belongs to several of them.
     classes = stored(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str
                 key = mix(key * U(0x9E3779B97F4A7C15) + m[:, :, k] + U(1))
             yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), spec.bands)), pa.array(key.ravel().view(np.int64))], ["id", "bucket"])
 
-    banded = sigs.select("id", "sig").mapInArrow(band, "id long, bucket long")
+    banded = sigs.select("id", "sig").mapInArrow(lean(band), "id long, bucket long")
     # The hub of a bucket is the member whose buckets hold the most members in all: of a group of near
     # copies, most likely the text that the others were made from.
     banded = stored(banded, "bands")
@@ -272,5 +272,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group: the one with the smallest id (five-word shingles). Rows without an id stay."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("doc_id")]
-    out = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.toDF(*names).join(out, F.col(at) == F.col("gone"), "left_anti").toDF(*docs.columns)
+    out = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = F.broadcast(out) if out.count() <= BROADCAST_IDS else out.hint("merge")
+    return docs.toDF(*names).join(gone, F.col(at) == F.col("gone"), "left_anti").toDF(*docs.columns)
