@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import stored
-from .words import LOWER, NOT_ALNUM, groups, segment
+from .words import HELD, LOWER, NOT_ALNUM, groups, lean, segment
 
 WINDOW = 10
 BLOCK_BYTES = 256 << 10
@@ -33,6 +33,7 @@ BLOCK_BYTES = 256 << 10
 _TABLE = bytes(LOWER[k] if not NOT_ALNUM[LOWER[k]] else 0x20 for k in range(256))
 #: The automaton that this worker holds, and what it was made from.
 _held: dict[str, object] = {}
+HELD["automaton"] = _held.clear
 
 HITS = "array<struct<item:string,first_word:int,n_words:int,start:int,end:int>>"
 
@@ -122,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "n_words long", f"hits {HITS}"])
     first = True
     for block in _blocks(benchmark, item, texts):
-        rows = (rows if first else stored(rows, "scanned")).mapInArrow(_scan(block, window, len(keep), first), schema)
+        rows = (rows if first else stored(rows, "scanned")).mapInArrow(lean(_scan(block, window, len(keep), first), "automaton"), schema)
         first = False
     return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "hits")
 

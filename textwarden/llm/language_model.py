@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .store import stored
 from .tokens import HashTable
 from .vectors import SCHEMA, summed, vector_rows
-from .words import SPACES, U, Words, crc32_mod5, mix, word_groups
+from .words import SPACES, U, Words, crc32_mod5, lean, mix, word_groups
 
 _STEPS = 32  # of the count histogram, by factor of two
 
@@ -123,7 +123,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa
 def count_words(docs: DataFrame, sizes: Sizes = Sizes()) -> Counts:
     """docs: text, train (boolean)."""
     training = docs.where("train")
-    rows = training.select("text").mapInArrow(lambda b: _count_words(b, sizes), "word long, suffix short, n long")
+    rows = training.select("text").mapInArrow(lean(lambda b: _count_words(b, sizes)), "word long, suffix short, n long")
     table = stored(rows.groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("c")), "words")
     texts = training.count()
     step = F.floor(F.log2("c") * _STEPS).cast("int")
@@ -199,7 +199,7 @@ def classify(docs: DataFrame, counts: Counts) -> DataFrame:
                 place += n
 
     schema = "place long, id long, held_out boolean, train boolean, n_tokens long, known long, log_c double, log_class double, classes binary, rare array<long>, rare_n array<int>"
-    return stored(docs.select("id", "held_out", "train", "text").mapInArrow(run, schema), "classes")
+    return stored(docs.select("id", "held_out", "train", "text").mapInArrow(lean(run), schema), "classes")
 
 
 def initial(counts: Counts, states: int) -> Model:
@@ -301,7 +301,7 @@ def train(rows: DataFrame, counts: Counts, states: int = 8, rounds: int = 3) ->
         yield vector_rows(np.concatenate([x.ravel() for x in total]))
 
     for _ in range(rounds if counts.texts else 0):
-        got = summed(rows.select("classes").mapInArrow(lambda b, m=m: run(b, m), SCHEMA), size)
+        got = summed(rows.select("classes").mapInArrow(lean(lambda b, m=m: run(b, m)), SCHEMA), size)
         start, move, emit = got[:states] + 0.01, got[states : states + states**2].reshape(states, states) + 0.01, got[states + states**2 :].reshape(classes, states)
         emit = emit + 20.0 * prior[:, None]
         m = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -323,7 +323,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train_on:
             yield pa.record_batch([*part.columns[:7], pa.array(forward(model, flat, lengths))], [*part.schema.names[:7], "hmm"])
 
     columns = ["place", "id", "held_out", "n_tokens", "known", "log_c", "log_class"]
-    likely = rows.select(*columns, "classes").mapInArrow(run, "place long, id long, held_out boolean, n_tokens long, known long, log_c double, log_class double, hmm double")
+    likely = rows.select(*columns, "classes").mapInArrow(lean(run), "place long, id long, held_out boolean, n_tokens long, known long, log_c double, log_class double, hmm double")
     rare = rows.select("place", F.inline(F.arrays_zip("rare", "rare_n")).alias("word", "n"))
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts.table.select("word", "c"), "word", "left").groupBy("place").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))

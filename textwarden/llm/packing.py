@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .store import stored
 from .tokens import crc32_of, encoded_groups, tokenizer_path
+from .words import lean
 
 CAPACITY = 4096
 
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return stored(rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary, ids_crc32 long, task int, local_rank long"), "pieces")
+    return stored(rows.mapInArrow(lean(run, "tokens"), "id long, piece int, start long, length long, ids binary, ids_crc32 long, task int, local_rank long"), "pieces")
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -155,7 +156,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = [c for c in made.columns if c not in ("task", "local_rank")]
     ranked = made.join(bases, ["length", "task"]).select(*columns, (F.col("base") + F.col("local_rank")).alias("rank"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema[:-1]), "sequence_id long", "offset long"])
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import LOWER, SPACES, U, Words, groups, hash_ranges, segment
+from .words import LOWER, SPACES, U, Words, groups, hash_ranges, lean, segment
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account")
@@ -377,7 +377,7 @@ def personal_data(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("d
                 columns.append(pa.array([t.as_py() if not x else redacted(t.as_py(), x) for t, x in zip(texts, spans, strict=True)], pa.string()))
             yield pa.record_batch(columns, [*names, "spans", *(["redacted"] * redact)])
 
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "spans", *(["redacted"] * redact))
+    return rows.mapInArrow(lean(run), schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "spans", *(["redacted"] * redact))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .store import stored
 from .vectors import SCHEMA, summed, vector_rows
-from .words import LOWER, SPACES, U, Words, crc32_mod5, groups, hash_ranges, mix, segment
+from .words import LOWER, SPACES, U, Words, crc32_mod5, groups, hash_ranges, lean, mix, segment
 
 FORMS = 1 << 14
 SHAPES = 1 << 10
@@ -94,7 +94,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """(UNITS, DIMS) weighted context vectors, counted over all rows of ``texts`` (one column)."""
-    total = summed(texts.mapInArrow(_contexts, SCHEMA), UNITS * (DIMS + 1))
+    total = summed(texts.mapInArrow(lean(_contexts), SCHEMA), UNITS * (DIMS + 1))
     context, n = total[: UNITS * DIMS].reshape(UNITS, DIMS), total[UNITS * DIMS :]
     out = np.zeros((UNITS, DIMS))
     for part in (slice(0, FORMS), slice(FORMS, FORMS + SHAPES), slice(FORMS + SHAPES, UNITS)):
@@ -128,7 +128,7 @@ def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
                 out[:, -1] = np.log1p(w.counts) / 10
                 yield pa.record_batch([b.column(0).slice(rows.start, n), pa.array([x.tobytes() for x in out], pa.binary())], ["id", "features"])
 
-    return stored(docs.mapInArrow(run, "id long, features binary"), "features")
+    return stored(docs.mapInArrow(lean(run), "id long, features binary"), "features")
 
 
 @dataclass
@@ -203,7 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
             yield pa.record_batch([b.column(0), pa.array(net.scores(x.astype(float)))], ["id", "score"])
 
-    scored = made.mapInArrow(run, "id long, score double")
+    scored = made.mapInArrow(lean(run), "id long, score double")
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

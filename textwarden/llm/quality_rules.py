@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import SPACES, U, combine, hash_ranges, mix, word_groups
+from .words import SPACES, U, combine, hash_ranges, lean, mix, word_groups
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_symbol_words", "n_bang_words")
 #: Bit by place. Each rule is a SQL condition over the measurements; true fails the document.
@@ -121,7 +121,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
 
     inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
     schema = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)), *(f"{m} long" for m in MEASURES)])
-    measured = inner.mapInArrow(run, schema)
+    measured = inner.mapInArrow(lean(run), schema)
     bits: Column = F.lit(0).cast("long")
     for name, condition in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .store import drop_stored, fresh_path, stored
 from .tokens import VOCABULARY, crc32_of, encoded_groups, tokenizer_path
 from .vectors import SCHEMA, summed, vector_rows
+from .words import lean
 
 LIMIT = 16
 CHECKPOINT = 256
@@ -189,8 +190,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
                 place += len(counts)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    tokens = stored(rows.mapInArrow(tokenise, "id long, place long, ids binary"), "tokens")
-    lengths = code_lengths(summed(tokens.select("ids").mapInArrow(_count, SCHEMA), VOCABULARY))
+    tokens = stored(rows.mapInArrow(lean(tokenise, "tokens"), "id long, place long, ids binary"), "tokens")
+    lengths = code_lengths(summed(tokens.select("ids").mapInArrow(lean(_count), SCHEMA), VOCABULARY))
     codes = canonical(lengths)
     n = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     quantiles = tokens.select(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
@@ -235,9 +236,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
         if held:
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([nth], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_block(held)], pa.binary())], ["shard", "block", "n_ids", "data"])
 
-    coded = tokens.mapInArrow(code, "shard int, id long, place long, n long, bits binary, points binary")
+    coded = tokens.mapInArrow(lean(code), "shard int, id long, place long, n long, bits binary, points binary")
     dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "place")
-    dealt.mapInArrow(block, "shard int, block int, n_ids long, data binary").write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(lean(block), "shard int, block int, n_ids long, data binary").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as shards
     blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/shards")
@@ -265,7 +266,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")).join(spark.read.parquet(f"{path}/shards"), "shard")
-    docs = blocks.select("shard", "block", "data").mapInArrow(run, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    docs = blocks.select("shard", "block", "data").mapInArrow(lean(run), "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
     start = (F.col("start") + F.col("base") + F.col("within")).alias("start")
     return docs.join(bases, ["shard", "block"]).select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * ids)
 

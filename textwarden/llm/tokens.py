@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .words import LOWER, SPACES, U, groups, segment
+from .words import HELD, LOWER, SPACES, U, groups, segment
 
 #: Chunks kept by a worker; the cache starts anew beyond it.
 CACHE = 1_000_000
@@ -173,6 +173,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+HELD["tokens"] = encoder.cache_clear
+
+
 def encoded_groups(texts: pa.Array, path: str) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, ids, number of ids of each row) of whole texts; nulls are empty, each text ends with END."""
     for rows, data, offsets in groups(texts):
