@@ -1,9 +1,14 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
 from textwarden import queries as q
+from textwarden.functions import rules as R
+from textwarden.plans.corpus import PHRASES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,3 +39,23 @@ def test_equals_sql(spark, con, name):
 
 def test_each_oracle_has_a_query():
     assert set(q.ORACLE) <= set(q.QUERIES)
+
+
+def test_personal_data_has_every_rule(spark, tmp_path):
+    """Against Python's re, on texts with EU national ids, which the SQL of these queries lacks."""
+    texts = ["123456789 is my bsn", "bsn 123456789", "12345678 and 999999999999 of a citizen", "87654321\nnational id", "11112222 33334444 National  ID, SSN 900-12-3456", "plain", None]
+    docs = [(k, texts[k % len(texts)]) for k in range(2 * len(PHRASES))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, t in docs:
+        text = f"{PHRASES[k % len(PHRASES)]}. {t or ''}"
+        for p, name, severity, _ in R.PII:
+            found = list(re.finditer(p, text, re.I | re.M))
+            if found:
+                want.append((k, name, severity, len(found), found[0][found[0].re.groups][:6] + "***"))
+    assert sum(x[1] == "eu_national_id" for x in want) > 30
+    assert sorted(map(tuple, q.QUERIES["pii_samples"](spark, str(tmp_path)).collect())) == sorted(want)
+    rows, matches = Counter(x[1] for x in want), Counter()
+    for x in want:
+        matches[x[1]] += x[3]
+    assert {r.type: (r.texts, r.matches) for r in q.QUERIES["pii_type_counts"](spark, str(tmp_path)).collect()} == {n: (rows[n], matches[n]) for n in rows}
