@@ -91,6 +91,31 @@ def test_forward_and_counts_equal_sums_over_paths():
         assert np.allclose(got, sum(w[k] for w in want))
 
 
+def test_counts_of_cut_texts_are_those_of_whole_texts():
+    r = np.random.default_rng(6)
+    m = model(r)
+    xs = [r.integers(0, 9, n) for n in (7, 1, 3, 4, 8, 6, 2)]
+    flat, lengths = np.concatenate(xs), np.array([len(x) for x in xs])
+    want = [sum(w) for w in list(zip(*(paths(m, x) for x in xs)))[1:]]
+    for run, at_once in ((1, 1), (2, 4), (3, 1 << 19), (3, 1), (512, 1 << 19)):
+        for got, w in zip(lm.counted(m, flat, lengths, run, at_once), want, strict=True):
+            assert np.allclose(got, w, rtol=1e-9)
+    xs = [r.integers(0, 9, n) for n in (5000, 513, 512, 511, 1025)]
+    flat, lengths = np.concatenate(xs), np.array([len(x) for x in xs])
+    for got, w in zip(lm.counted(m, flat, lengths, 512, 2048), lm.expected(m, flat, lengths), strict=True):
+        assert np.allclose(got, w, rtol=1e-9)
+
+
+def test_training_does_not_depend_on_the_length_of_runs(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k + j * j) % 11}" for j in range(20 + k))) for k in range(30)], "id long, text string").selectExpr("id", "false held_out", "true train", "text")
+    models = []
+    for run in (3, 512):
+        counts = lm.count_words(docs, lm.Sizes(20, 8, 4, run))
+        models.append(lm.train(lm.classify(docs, counts), counts))
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(models[0], name), getattr(models[1], name), rtol=1e-6)
+
+
 def test_the_model_is_a_distribution(spark):
     """Over the next word of a known vocabulary, plus one unseen word in each shared class, probabilities add up to one."""
     docs = spark.createDataFrame([(k, f"a{k % 7} b{k % 5} c") for k in range(50)], "doc_id long, text string").selectExpr("doc_id id", "false held_out", "true train", "text")

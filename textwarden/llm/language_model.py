@@ -6,8 +6,10 @@ by their last three bytes. Within a shared class a word has its add-half share o
 place being left for what was never seen, so the model is a distribution over all texts:
 P(text) = P_hmm(classes) * product of P(word | class).
 
-Baum-Welch: each round, tasks add up expected counts of their training texts (in runs of ``run`` tokens) and
+Baum-Welch: each round, tasks add up expected counts of their whole training texts and
 ``vectors.summed`` adds those of all tasks; only arrays of a size fixed by the parameters reach the driver.
+Long texts are worked off in runs of ``run`` tokens: the product of a run's steps, a matrix of states by states, carries alpha
+forward and beta backward over all runs of a text, and the counts inside a run are made between these.
 Word counts are a table over all training words. Words above a count that at most ``frequent`` words reach are sent to
 the tasks; all others are looked up by a join. Scoring runs the scaled forward recursion over whole texts.
 
@@ -233,11 +235,17 @@ def forward(m: Model, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return result
 
 
-def expected(m: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of class sequences; lengths are 1 or more."""
+def expected(m: Model, flat: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (start, move, emit) of class sequences; lengths are 1 or more.
+
+    before: alpha at the token before each sequence, zeros where a text begins; the move into the sequence is counted with it.
+    after: beta at its last token, to any scale. Without them sequences are whole texts.
+    """
     k = len(m.start)
-    _, starts, longer = _by_length(flat, lengths)
+    order, starts, longer = _by_length(flat, lengths)
     n_at = longer.tolist()
+    before = np.zeros((len(lengths), k)) if before is None else before[order]
+    begins = ~before.any(axis=1)
     first = np.concatenate(([0], np.cumsum(longer)))
     # Rows of alpha and e stand by step, then by sequence.
     where = np.concatenate([starts[:n] + t for t, n in enumerate(n_at)])
@@ -251,22 +259,80 @@ def expected(m: Model, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarra
             np.matmul(alpha[first[t - 1] : first[t - 1] + n], m.move, out=a)
             a *= e[i : i + n]
         else:
-            np.multiply(m.start, e[:n], out=a)
+            np.multiply(np.where(begins[:, None], m.start, before @ m.move), e[:n], out=a)
         s = a.sum(axis=1)
         scale[i : i + n] = s
         a /= s[:, None]
     gamma, move = np.empty_like(alpha), np.zeros((k, k))
-    beta = np.ones((n_at[0], k))
+    if after is None:
+        beta = np.ones((n_at[0], k))
+    else:
+        last = alpha[first[lengths[order] - 1] + np.arange(len(order))]
+        beta = after[order] / (last * after[order]).sum(axis=1, keepdims=True)
     for t in range(len(n_at) - 1, -1, -1):
         i, n = first[t], n_at[t]
         np.multiply(alpha[i : i + n], beta[:n], out=gamma[i : i + n])
+        weighted = e[i : i + n] * beta[:n] / scale[i : i + n, None]
         if t:
             j = first[t - 1]
-            weighted = e[i : i + n] * beta[:n] / scale[i : i + n, None]
             move += alpha[j : j + n].T @ weighted
             beta[:n] = weighted @ m.move.T
+        else:
+            move += before.T @ weighted
     emit = np.stack([np.bincount(classes, gamma[:, s], len(m.emit)) for s in range(k)], axis=1)
-    return gamma[: n_at[0]].sum(axis=0), move * m.move, emit
+    return gamma[: n_at[0]][begins].sum(axis=0), move * m.move, emit
+
+
+def _products(m: Model, flat: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Of each run the product of its steps (move, then emission), to any scale; where a text begins all rows are start."""
+    k = len(m.start)
+    order, starts, longer = _by_length(flat, lengths)
+    p = np.empty((len(lengths), k, k))
+    for t, n in enumerate(longer.tolist()):
+        q = p[:n]
+        q[:] = (q.reshape(-1, k) @ m.move).reshape(-1, k, k) if t else np.where(begins[order][:, None, None], m.start, m.move)
+        q *= m.emit[flat[starts[:n] + t]][:, None, :]
+        q /= q.sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(p)
+    out[order] = p
+    return out
+
+
+def counted(m: Model, flat: np.ndarray, lengths: np.ndarray, run: int, tokens: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """expected() of whole texts, worked off in runs of ``run`` tokens and at most ``tokens`` tokens at once."""
+    k = len(m.start)
+    n = -(-lengths // run)
+    ends = np.cumsum(n)
+    first = ends - n
+    runs = np.full(n.sum(), run)
+    runs[ends - 1] = lengths - (n - 1) * run
+    begins = np.zeros(len(runs), bool)
+    begins[first] = True
+    at = np.concatenate(([0], np.cumsum(runs)))
+    cuts = [*range(0, len(runs), max(1, tokens // run)), len(runs)]
+    before, after = np.zeros((len(runs), k)), np.ones((len(runs), k))
+    many = np.repeat(n > 1, n)
+    if many.any():
+        product = np.zeros((len(runs), k, k))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own = np.flatnonzero(many[i:j]) + i
+            if len(own):
+                part = np.concatenate([flat[at[x] : at[x + 1]] for x in own])
+                product[own] = _products(m, part, runs[own], begins[own])
+        by = np.argsort(-n, kind="stable")
+        longer = len(n) - np.cumsum(np.bincount(n))[:-1]
+        for r in range(1, len(longer)):  # the run r of all texts that have it
+            x = first[by[: longer[r]]] + r
+            alpha = np.einsum("ni,nij->nj", before[x - 1] if r > 1 else np.full((len(x), k), 1 / k), product[x - 1])
+            before[x] = alpha / alpha.sum(axis=1, keepdims=True)
+            x = ends[by[: longer[r]]] - 1 - r
+            beta = np.einsum("nij,nj->ni", product[x + 1], after[x + 1])
+            after[x] = beta / beta.sum(axis=1, keepdims=True)
+    total = [np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        for x, y in zip(total, expected(m, flat[at[i] : at[j]], runs[i:j], before[i:j], after[i:j]), strict=True):
+            x += y
+    return total[0], total[1], total[2]
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -293,10 +359,7 @@ def train(rows: DataFrame, counts: Counts, states: int = 8, rounds: int = 3) ->
     def run(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))]
         for _, flat, lengths in _sequences(batches, 0, 1 << 19):
-            n = -(-lengths // run_length)
-            runs = np.full(n.sum(), run_length)
-            runs[np.cumsum(n) - 1] = lengths - (n - 1) * run_length
-            for x, y in zip(total, expected(m, flat, runs), strict=True):
+            for x, y in zip(total, counted(m, flat, lengths, run_length), strict=True):
                 x += y
         yield vector_rows(np.concatenate([x.ravel() for x in total]))
 
