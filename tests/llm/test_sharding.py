@@ -53,3 +53,10 @@ def test_query_and_edges(spark, sf="/root/testdata/sf0.01"):
     rows = out.collect()
     assert len(rows) == 4 and len({r.to_shard for r in rows if r.doc_id is None}) == 1
     assert s.place(df.limit(0), ["doc_id", "slot"], prefix="to_").count() == 0
+
+
+def test_query_places_whole_rows(spark, sf="/root/testdata/sf0.01"):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = s.op7_sharding(spark, sf)
+    assert got.columns == [*docs.columns, "slot", "shard"]
+    assert Counter(map(tuple, got.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))

@@ -66,4 +66,4 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARDS, si
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), ["doc_id"])
+    return place(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
