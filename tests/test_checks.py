@@ -196,3 +196,25 @@ def test_own_checks(spark):
     assert scores(run(spark, ColumnCheck("long", lambda t: F.length(t) / 10.0, severity="high"), ["abc", "abcdefg"])) == [(True, 0.3, "low"), (False, 0.7, "high")]
     got = run(spark, ArrowCheck("odd", lambda t: 1 / len(t)), ["", "a", "abc"])
     assert got[0] is None and scores(got[1:]) == [(False, 1.0, "medium"), (True, 1 / 3, "low")]
+
+
+def test_nearest_in_a_library_of_any_size(spark, monkeypatch):
+    r = random.Random(4)
+    vectors = [(k, [r.gauss(0, 1) for _ in range(5)]) for k in range(60)]
+    vectors += [(90, [0.0] * 5), (7, vectors[7][1]), (7, vectors[8][1]), (None, vectors[9][1]), (None, vectors[9][1]), (91, [2 * x for x in vectors[3][1]])]
+    library = [(k, v) for k, v in vectors[:60] if k % 2] + [(200, [3 * x for x in vectors[5][1]]), (201, [0.0] * 5), (5, vectors[5][1])]
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v]
+    want = []
+    for k, v in vectors:
+        s = {i: sum(a * b for a, b in zip(unit(v), unit(w))) for i, w in library}
+        want.append((k, max(s.values()), min(i for i, x in s.items() if x > max(s.values()) - 1e-9)))
+    of = lambda rows, i: spark.createDataFrame(rows, f"{i} long, v array<double>")
+    for most, block in ((10_000, 1_000), (10, 4), (10, 1_000)):
+        monkeypatch.setattr(m, "LIBRARY_ROWS", most)
+        monkeypatch.setattr(m, "BLOCK_ROWS", block, raising=False)
+        got = sorted(m.nearest(of(vectors, "i"), of(library, "k").withColumnRenamed("k", "j"), "i", "v", "j").collect(), key=str)
+        assert len(got) == len(want)
+        key = lambda x: (str(x[0]), round(x[1], 6))
+        for g, w in zip(sorted(((x.i, x.similarity, x.nearest_id) for x in got), key=key), sorted(want, key=key), strict=True):
+            assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-9
+            assert g[2] == w[2] or g[0] is not None and w[0] == 5 and g[2] in (5, 200)  # a multiple ties but for rounding

@@ -138,30 +138,42 @@ class SemanticSimilarity(Check):
         return self.passing()
 
 
-#: Vectors of a library that is sent to all tasks at most.
-LIBRARY_ROWS = 10_000
+#: Vectors of a library that is sent to all tasks at most, and of a block of a larger one.
+LIBRARY_ROWS, BLOCK_ROWS = 10_000, 1_000
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def nearest(vectors: DataFrame, library: DataFrame, id_col: str, vector: str, library_id: str) -> DataFrame:
     """Each row's most similar library vector by cosine: id, nearest_id, similarity. Ties go to the smaller library id.
 
-    The library (36 prompts in the stock setting) is checked to be small and becomes a single broadcast
-    row, so each row is scored in place, without a shuffle.
+    A small library (36 prompts in the stock setting) becomes a single broadcast row, so each row is scored in place,
+    without a shuffle. A larger one is dealt into blocks of about BLOCK_ROWS, each row meets each block, and the best of
+    its blocks are reduced to one; equal rows are searched once.
     """
-    rows = library.select(F.col(library_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).limit(LIBRARY_ROWS + 1).collect()
-    if len(rows) > LIBRARY_ROWS:
-        raise ValueError(f"a library of more than {LIBRARY_ROWS} vectors")
-    unit = []
-    for r in sorted(rows, key=lambda r: r.i):
-        length = sum(x * x for x in r.v) ** 0.5
-        unit.append((r.i, [x / length if length else 0.0 for x in r.v]))
-    lib = df_literal(vectors, unit)
-    v = F.col(vector).cast("array<double>")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    lib = library.select(F.col(library_id).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    rows = lib.limit(LIBRARY_ROWS + 1).collect()
+    v = F.col("v")
     length = F.sqrt(dot(v, v))
     scores = F.transform(F.col("lib"), lambda l: F.struct(F.when(length > 0, dot(v, l["v"]) / length).otherwise(0.0).alias("s"), (-l["i"]).alias("i")))
     best = F.array_max(scores)
-    return vectors.crossJoin(F.broadcast(lib)).select(id_col, best.alias("b")).select(id_col, (-F.col("b.i")).alias("nearest_id"), F.col("b.s").alias("similarity"))
+    asked = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    if len(rows) > LIBRARY_ROWS:
+        unit = F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+        block = F.pmod(F.xxhash64("i", "v"), F.lit(-(-lib.count() // BLOCK_ROWS)))
+        blocks = lib.distinct().groupBy(block.alias("block")).agg(F.collect_list(F.struct("i", unit.alias("v"))).alias("lib")).select("lib")
+        once = asked.groupBy("id", "v").agg(F.count("*").alias("n"))
+        found = once.crossJoin(blocks.hint("shuffle_replicate_nl")).select("id", "v", "n", best.alias("b")).groupBy("id", "v").agg(F.first("n").alias("n"), F.max("b").alias("b"))
+        answers = found.select("id", "b", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("id", "b")
+    else:
+        unit = []
+        for r in sorted(rows, key=lambda r: r.i):
+            norm = sum(x * x for x in r.v) ** 0.5
+            unit.append((r.i, [x / norm if norm else 0.0 for x in r.v]))
+        answers = asked.crossJoin(F.broadcast(df_literal(vectors, unit))).select("id", best.alias("b"))
+    return answers.select(F.col("id").alias(id_col), (-F.col("b.i")).alias("nearest_id"), F.col("b.s").alias("similarity"))
 
 
 def df_literal(like: DataFrame, unit: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
