@@ -8,7 +8,7 @@ import pytest
 
 from textwarden import queries as q
 from textwarden.functions import rules as R
-from textwarden.plans.corpus import PHRASES
+from textwarden.plans.corpus import PHRASES, seeded
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +59,11 @@ def test_personal_data_has_every_rule(spark, tmp_path):
     for x in want:
         matches[x[1]] += x[3]
     assert {r.type: (r.texts, r.matches) for r in q.QUERIES["pii_type_counts"](spark, str(tmp_path)).collect()} == {n: (rows[n], matches[n]) for n in rows}
+
+
+def test_seeded_keeps_every_document(spark, tmp_path):
+    docs = [(None, "a"), (None, None), (-1, "b"), (-41, "c"), (-50, "d"), (5, "e"), (5, "e"), (46, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(k, f"{'' if k is None else PHRASES[k % len(PHRASES)]}. {t or ''}") for k, t in docs]
+    assert sorted(map(tuple, seeded(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+    assert q.QUERIES["inj_input_verdict"](spark, str(tmp_path)).count() == len(docs)

@@ -28,10 +28,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text of all documents."""
+    """doc_id, text of all documents; without an id the phrase is empty. (The SQL below leaves out null ids and most negative ones.)"""
     phrases = spark.createDataFrame(list(enumerate(PHRASES)), "pid long, phrase string")
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return docs.join(F.broadcast(phrases), F.col("doc_id") % len(PHRASES) == F.col("pid")).select("doc_id", F.concat("phrase", F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
+    return docs.join(F.broadcast(phrases), F.pmod("doc_id", F.lit(len(PHRASES))) == F.col("pid"), "left").select("doc_id", F.concat(F.coalesce("phrase", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def quoted(x: str) -> str:
