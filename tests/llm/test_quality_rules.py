@@ -1,6 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from colliding import thue_morse
 from pyspark.sql import functions as F
 
 from textwarden.llm import quality_rules as q
@@ -62,3 +66,16 @@ def test_good_documents_stay(spark, sf="/root/testdata/sf0.1"):
     good = rows.where("quality = 1 and not base_failed")
     assert good.agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.99
     assert rows.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.1
+
+
+@pytest.mark.parametrize("spoiled", [False, True])
+def test_colliding_lines_and_windows(monkeypatch, spoiled):
+    """Equal hashes alone make no equal lines or windows, even where all words and lines have one hash."""
+    if spoiled:
+        same = lambda data, starts, ends: np.full(len(starts), 7, np.uint64)
+        monkeypatch.setattr(q, "hash_ranges", same)
+        monkeypatch.setattr("textwarden.llm.words.hash_ranges", same)
+    a, b = thue_morse()
+    texts = [f"{a}\n{b}", f"{a} x y {b} x y {a} x z", *(t for t in TEXTS if t is None or len(t) < 2000), f"{a}\n{a}\n{b}\n{b}"]
+    got = q.measure(pa.array(texts))
+    assert [tuple(int(got[m][i]) for m in q.MEASURES[:5]) for i in range(len(texts))] == [brute(t) for t in texts]

@@ -2,6 +2,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from colliding import thue_morse
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,3 +60,52 @@ def test_hash_table():
     t.add(keys[:20_000])
     t.add(keys[20_000:])
     assert (t.get(keys) == np.arange(len(keys))).all() and (t.get(keys + np.uint64(1 << 63)) == -1).all()
+
+
+def bits_of(raws):
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    ends = np.cumsum([len(r) for r in raws])
+    return data, ends - [len(r) for r in raws], ends
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=300), max_size=12), st.lists(st.integers(1, 2000), max_size=3))
+def test_hashes_of_ranges_depend_on_all_bytes_and_nothing_else(raws, sizes):
+    raws = [*raws, *(b"x" * n for n in sizes), *(b"x" * n + b"y" for n in sizes), b"a", b"a\0", b"", b"a\0\0\0\0\0\0\0"] * 2
+    data, starts, ends = bits_of(raws)
+    h = words.hash_ranges(data, starts, ends).tolist()
+    assert len(set(zip(raws, h))) == len(set(raws)) == len(set(h))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=40), st.integers(1, 200), st.integers(0, 8000)), min_size=1, max_size=8))
+def test_equal_ranges(parts):
+    raws = [x * n for x, n, _ in parts]
+    other = []
+    for raw, (_, _, at) in zip(raws, parts):
+        x = bytearray(raw)
+        if x and at % 3:
+            x[at % len(x)] ^= 1 << at % 8
+        other.append(bytes(x))
+    (a, s, e), (b, t, _) = bits_of(raws), bits_of(other)
+    assert words.equal_ranges(a, s, b, t, e - s).tolist() == [x == y for x, y in zip(raws, other)]
+
+
+def test_colliding_words_and_windows():
+    a, b = thue_morse()
+    data, starts, ends = bits_of([a.encode(), b.encode(), a[:64].encode(), b[:64].encode(), a[:100].encode(), b[:100].encode()])
+    h = words.hash_ranges(data, starts, ends)
+    assert len(set(h.tolist())) == 6
+    assert len(set(words.combine(h, 2).tolist())) == 5
+
+
+@pytest.mark.parametrize("spoiled", [False, True])
+def test_ids_of_colliding_chunks(monkeypatch, spoiled):
+    """Two chunks of one hash, even where all hashes are equal, keep their own ids."""
+    if spoiled:
+        monkeypatch.setattr(words, "hash_ranges", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    encoder = tokens.ChunkEncoder(tokens.tokenizer_path())
+    for text in (*thue_morse(), "one two", "two one three", *thue_morse()):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, counts = encoder.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]

@@ -6,7 +6,8 @@ rule decides alone, over the ledger, without touching the texts again.
 
 Cases: a null or empty text has no words and fails ``too_few_words``; a text of one huge word, repeated
 rows and rows with a null doc_id are measured like any other, one ledger row for each input row.
-Extra columns pass through ``keep``; nothing is grouped, so ties and hot keys do not matter.
+Extra columns pass through ``keep``; nothing is grouped, so ties and hot keys do not matter. Equal lines and windows
+are found by hash and compared byte for byte; texts in which two different ones share a hash are measured plainly.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import SPACES, U, combine, hash_ranges, lean, mix, word_groups
+from .words import SPACES, U, Words, combine, eights, equal_eights, hash_ranges, lean, mix, word_groups
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines", "n_symbol_words", "n_bang_words")
 #: Bit by place. Each rule is a SQL condition over the measurements; true fails the document.
@@ -59,6 +60,22 @@ def _count_true(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _plain(w: Words, text: int) -> tuple[int, list[bool]]:
+    """(lines equal to an earlier one, whether each word lies in a window found twice) of one text, without hashes."""
+    raw = w.data[w.offsets[text] : w.offsets[text + 1]].tobytes()
+    lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\v\f\r")]
+    own = range(int(w.first[text]), int(w.first[text + 1]))
+    words = [w.data[w.starts[k] : w.ends[k]].tobytes() for k in own]
+    places: dict[tuple[bytes, ...], list[int]] = {}
+    for k in range(len(words) - 2):
+        places.setdefault(tuple(words[k : k + 3]), []).append(k)
+    covered = [False] * len(words)
+    for at in places.values():
+        for k in at if len(at) > 1 else ():
+            covered[k : k + 3] = [True] * 3
+    return len(lines) - len(set(lines)), covered
+
+
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """All measurements of whole texts."""
     out: dict[str, list[np.ndarray]] = {m: [] for m in MEASURES}
@@ -74,10 +91,17 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         worded = np.searchsorted(w.starts, line_starts) < np.searchsorted(w.starts, trimmed)
         line_starts, trimmed = line_starts[worded], trimmed[worded]
         line_text = np.searchsorted(w.offsets, line_starts, side="right") - 1
+        view, unsure = eights(w.data), [np.empty(0, np.int64)]
         keys = mix(hash_ranges(w.data, line_starts, trimmed) + line_text.astype(U) * U(0x9E3779B97F4A7C15))
-        order = np.unique(keys, return_index=True)[1]
+        by = np.argsort(keys, kind="stable")
+        again = np.flatnonzero(keys[by][1:] == keys[by][:-1])
+        x, y = by[again], by[again + 1]
+        size = trimmed - line_starts
+        agree = (line_text[x] == line_text[y]) & (size[x] == size[y])
+        agree &= equal_eights(view, line_starts[x], view, line_starts[y], np.where(agree, size[x], 0))
+        unsure += [line_text[x[~agree]], line_text[y[~agree]]]
         lines = np.bincount(line_text, minlength=n)
-        dup_lines = lines - np.bincount(line_text[order], minlength=n)
+        dup_lines = np.bincount(line_text[y], minlength=n)
         # 3-word windows that occur twice or more in their text, and the words they cover.
         covered = np.zeros(len(w.starts) + 1, np.int64)
         windows = combine(w.hashes(), 3)
@@ -85,13 +109,19 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         if len(within):
             keys = mix(windows[within] + text_of[within].astype(U) * U(0x9E3779B97F4A7C15))
             by = np.argsort(keys)
-            same = keys[by][1:] == keys[by][:-1]
-            twice = np.zeros(len(by), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            hit = within[by[twice]]
+            again = np.flatnonzero(keys[by][1:] == keys[by][:-1])
+            x, y = within[by[again]], within[by[again + 1]]
+            agree, size = text_of[x] == text_of[y], w.ends - w.starts
+            for k in range(3):
+                agree &= size[x + k] == size[y + k]
+                agree &= equal_eights(view, w.starts[x + k], view, w.starts[y + k], np.where(agree, size[x + k], 0))
+            unsure += [text_of[x[~agree]], text_of[y[~agree]]]
+            hit = np.unique(np.concatenate((x, y)))
             np.add.at(covered, hit, 1)
             np.add.at(covered, hit + 3, -1)
+        repeated = np.cumsum(covered)[:-1] > 0
+        for text in np.unique(np.concatenate(unsure)).tolist():
+            dup_lines[text], repeated[w.first[text] : w.first[text + 1]] = _plain(w, text)
         symbols_before = np.concatenate(([0], np.cumsum(symbol, dtype=np.int64)))
         last = w.data[w.ends - 1] if len(w.ends) else np.empty(0, np.uint8)
         for name, x in {
@@ -99,7 +129,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
             "word_chars": w.sums(lead & ~SPACES[w.data]),
             "n_symbols": w.sums(symbol),
             "n_dup_lines": dup_lines,
-            "n_repeat_words": _count_true(np.cumsum(covered)[:-1] > 0, w.first),
+            "n_repeat_words": _count_true(repeated, w.first),
             "n_upper": w.sums(_UPPER[w.data]),
             "n_letters": w.sums(_LETTER[w.data]),
             "n_lines": lines,

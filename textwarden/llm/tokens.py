@@ -1,7 +1,8 @@
 """Token ids of whole texts, with a bounded cache of what white-space separated chunks encode to.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in
-turn. Chunks repeat, so most of them come from the cache.
+turn. Chunks repeat, so most of them come from the cache. The cache is found by hash and answers only where the
+bytes of the chunk it was filled from are equal, too.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .words import HELD, LOWER, SPACES, U, groups, segment
+from .words import HELD, LOWER, SPACES, U, Words, eights, equal_eights, groups, segment
 
 #: Chunks kept by a worker; the cache starts anew beyond it.
 CACHE = 1_000_000
@@ -49,15 +50,14 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 class HashTable:
     """64-bit hashes to 0, 1, 2 ... in the order of insertion; lookups and insertions of whole arrays."""
 
-    BITS = 21
-
-    def __init__(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, U)
-        self.values = np.full(1 << self.BITS, -1, np.int32)
+    def __init__(self, bits: int = 21) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, U)
+        self.values = np.full(1 << bits, -1, np.int32)
         self.n = 0
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> U(64 - self.BITS)).astype(np.int64)
+        return (hashes >> U(64 - self.bits)).astype(np.int64)
 
     def get(self, hashes: np.ndarray) -> np.ndarray:
         """-1 where a hash is unknown."""
@@ -68,7 +68,7 @@ class HashTable:
             same = self.keys[slot] == hashes[left]
             out[left[same]] = value[same]
             go = ~same & (value >= 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.BITS) - 1)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def add(self, hashes: np.ndarray) -> None:
@@ -81,7 +81,7 @@ class HashTable:
             self.values[slot[take]] = self.n + left[take]
             go = np.ones(len(left), bool)
             go[take] = False
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.BITS) - 1)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         self.n += len(hashes)
 
 
@@ -99,7 +99,12 @@ class ChunkEncoder:
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int32)
+        # The chunks themselves: their bytes, where each begins, and how long it is.
+        self.text = np.empty(1 << 20, np.uint8)
+        self.text_used = 0
+        self.text_start = np.zeros(1 << 16, np.int64)
+        self.text_length = np.zeros(1 << 16, np.int32)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk)."""
@@ -113,19 +118,34 @@ class ChunkEncoder:
         each = [e.ids for e in encode(chunks, add_special_tokens=False)]  # a text holds the mark itself
         return np.array(list(chain.from_iterable(each)), np.uint32), np.array([len(x) for x in each])
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        flat, lengths = self._encode(chunks)
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        flat, lengths = self._encode([x.decode() for x in chunks])
         at, n = self.table.n, len(chunks)
         while at + n > len(self.start):
-            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+            self.start, self.length, self.text_start, self.text_length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.text_start, self.text_length))
+        text, sizes = np.frombuffer(b"".join(chunks), np.uint8), np.array([len(x) for x in chunks])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        while self.text_used + len(text) + 8 > len(self.text):
+            self.text = np.concatenate((self.text, np.empty_like(self.text)))
         self.pool[self.used : self.used + len(flat)] = flat
+        self.text[self.text_used : self.text_used + len(text)] = text
         self.length[at : at + n] = lengths
         self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
+        self.text_length[at : at + n] = sizes
+        self.text_start[at : at + n] = self.text_used + np.cumsum(sizes) - sizes
         self.used += len(flat)
+        self.text_used += len(text)
         self.table.add(hashes)
 
+    def _same(self, w: Words, idx: np.ndarray) -> bool:
+        """Whether every chunk is, byte for byte, the one that its place in the cache was filled from."""
+        n = w.ends - w.starts
+        if not (n == self.text_length[idx]).all():
+            return False
+        held = np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+        return bool(equal_eights(eights(w.data), w.starts, held, self.text_start[idx], n).all())
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), each text's followed by ``end``."""
         raw = data.tobytes()
@@ -149,9 +169,11 @@ class ChunkEncoder:
                 fresh = self.table.get(new) < 0
                 new, at = new[fresh], part[first[fresh]]
                 if len(new):
-                    self._learn(new, [raw[i:j].decode() for i, j in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+                    self._learn(new, [raw[i:j] for i, j in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
                 idx[part] = self.table.get(hashes[part])
-        lengths = self.length[idx]
+        if not self._same(w, idx):
+            return self._long(data, offsets, end)
+        lengths = self.length[idx].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.pool[np.repeat(self.start[idx] - before[:-1], lengths) + np.arange(before[-1])]
         return self._ended(ids, np.diff(before[w.first]), end)
@@ -162,7 +184,7 @@ class ChunkEncoder:
         return np.insert(ids, np.cumsum(counts), end).astype(np.uint32), counts + 1
 
     def _long(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Without the cache, for texts with more distinct chunks than it holds."""
+        """Without the cache: for texts with more distinct chunks than it holds, or two chunks of one hash."""
         raw, at = data.tobytes(), offsets.tolist()
         ids = [np.array(self.tokenizer.encode(raw[i:j].decode(), add_special_tokens=False).ids, np.uint32) for i, j in zip(at[:-1], at[1:], strict=True)]
         return self._ended(np.concatenate(ids), np.array([len(x) for x in ids]), end)

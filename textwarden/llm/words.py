@@ -1,12 +1,13 @@
 """Vectorised word segmentation and hashing over Arrow string batches.
 
-Everything works on the UTF-8 bytes of whole texts. A null text is an empty one. Hashes are
-64-bit polynomial prefix hashes finished by a mixer, so a word's hash does not depend on its place.
+Everything works on the UTF-8 bytes of whole texts. A null text is an empty one. A word's hash depends on
+all its bytes and not on its place.
 """
 
 from __future__ import annotations
 
 import contextlib
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,9 @@ import pyarrow as pa
 U = np.uint64
 #: Text bytes handled at once; a longer single text is one group.
 GROUP_BYTES = 1 << 20
-_PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a range that is hashed in numpy; longer ones are hashed one by one.
+LONG = 128
+_BASE = 0x9E3779B97F4A7C15
 
 #: Words are [^\x20\x09-\x0D]+.
 SPACES = np.zeros(256, bool)
@@ -30,21 +31,6 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers = (np.ones(1, U), np.ones(1, U))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        grown = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            grown.append(np.multiply.accumulate(steps))
-        _powers = tuple(grown)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -52,33 +38,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    return (x << U(32)) | (x >> U(32))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; zeros stand behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _up_to(n: np.ndarray) -> np.ndarray:
+    """Masks of the first n bytes of eight; n is 1 or more."""
+    return U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * np.minimum(n, 8).astype(U))
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair; the starts ascend and ranges don't overlap."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        origin = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, origin + _PIECE)))
-        j = min(j, len(starts))
-        stop = int(ends[j - 1])
-        pw, ipw = powers(min(max(stop - origin, 1), 1 << 62) + 1)
-        sums = np.empty(stop - origin + 1, U)
-        sums[0] = 0
-        np.cumsum((data[origin:stop].astype(U) + U(1)) * pw[: stop - origin], out=sums[1:])
-        s, e = starts[i:j] - origin, ends[i:j] - origin
-        out[i:j] = mix((sums[e] - sums[s]) * ipw[s] + (e - s).astype(U))
-        i = j
+    """A 64-bit hash of data[start:end] for each pair.
+
+    Ranges under eight bytes have a hash of their own each (packed with their length, then mixed, both one-to-one).
+    Longer ones pass eight bytes at a time through two states of 64 bits, which no single block can steer together, and
+    those over LONG bytes through BLAKE2. Equal hashes are a hint all the same: where a result must be exact,
+    callers compare bytes (equal_ranges).
+    """
+    n = (ends - starts).astype(np.int64)
+    view = eights(data)
+    out = np.full(len(n), _BASE, U)
+    short = np.flatnonzero((n > 0) & (n < 8))
+    out[short] = mix((view[starts[short]] & _up_to(n[short])) | (n[short].astype(U) << U(56)))
+    left = np.flatnonzero((n >= 8) & (n <= LONG))
+    a, b = mix(n[left].astype(U) + U(0xD1B54A32D192ED03)), mix(n[left].astype(U) ^ U(0x8CB92BA72F3D8DD7))
+    for k in range(0, LONG, 8):
+        if not len(left):
+            break
+        more = n[left] - k
+        block = view[starts[left] + k] & _up_to(more)
+        a = mix(a ^ block)
+        b = mix((b ^ _turned(block)) * U(0xABC98388FB8FAC03) + a)
+        done = more <= 8
+        out[left[done]] = mix(a[done] + _turned(b[done]))
+        go = ~done
+        left, a, b = left[go], a[go], b[go]
+    for i in np.flatnonzero(n > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def equal_ranges(data: np.ndarray, starts: np.ndarray, others: np.ndarray, other_starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether data[start:start + n] equals others[other_start:other_start + n], byte for byte."""
+    one = eights(data)
+    return equal_eights(one, starts, one if others is data else eights(others), other_starts, n)
+
+
+def equal_eights(one: np.ndarray, starts: np.ndarray, two: np.ndarray, other_starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """equal_ranges over :func:`eights` of both sides."""
+    out = np.ones(len(n), bool)
+    for i in np.flatnonzero(n > 8 * LONG).tolist():
+        s, t, m = int(starts[i]), int(other_starts[i]), int(n[i])
+        out[i] = np.array_equal(one[s : s + m : 8][: m // 8], two[t : t + m : 8][: m // 8]) and one[s + m - 8] == two[t + m - 8]
+    left, k = np.flatnonzero((n > 0) & (n <= 8 * LONG)), 0
+    while len(left):
+        more = n[left] - k
+        same = ((one[starts[left] + k] ^ two[other_starts[left] + k]) & _up_to(more)) == 0
+        out[left[~same]] = False
+        left = left[same & (more > 8)]
+        k += 8
     return out
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the windows of n neighbours; window i starts at element i."""
+    """Hashes of the windows of n neighbours, in two states as those of ranges; window i starts at element i."""
     if len(hashes) < n:
         return np.empty(0, U)
-    out = np.full(len(hashes) - n + 1, n, U)
+    size = len(hashes) - n + 1
+    a, b = np.full(size, n, U), np.full(size, _BASE, U)
     for k in range(n):
-        out = mix(out * U(_BASE) + hashes[k : len(hashes) - n + 1 + k])
-    return out
+        h = hashes[k : size + k]
+        a = mix(a * U(_BASE) + h)
+        b = mix((b ^ _turned(h)) * U(0xABC98388FB8FAC03) + a)
+    return a + _turned(b)
 
 
 @dataclass
