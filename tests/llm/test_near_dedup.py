@@ -2,6 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from colliding import thue_morse
 
 from textwarden.llm import near_dedup as nd
 
@@ -37,10 +40,10 @@ def brute(rows, k=4, percent=80):
     return {i: (len(s), root(i)) for i, s in zip(ids, sets, strict=True)}
 
 
-def check(spark, rows, **kw):
+def check(spark, texts, **kw):
     spec = nd.NearDedup(**({"shingle": 4} | kw))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spec).collect()}
-    want = brute(rows, spec.shingle, spec.percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), spec).collect()}
+    want = brute(texts, spec.shingle, spec.percent)
     assert got == want
     return want
 
@@ -101,3 +104,55 @@ def test_give_up_bounds():
     steps = nd.least_matches(spec, spec.long)
     assert steps[-1][0] == spec.long and all(0 <= m <= n for n, m in steps)
     assert nd._binomial_tail(spec.long, 0.8, steps[-1][1]) > 1 - 1e-4  # a pair at the threshold stays
+
+
+def test_colliding_words_are_not_linked(spark):
+    a, b = thue_morse()
+    long = [" ".join(f"t{i}" if i % 5 else x for i in range(300)) for x in (a, b)]
+    check(spark, [(1, a), (2, b), (3, long[0]), (4, long[1]), (5, a.upper())])
+
+
+@pytest.mark.parametrize("spoiled", [False, True])
+def test_pairs_are_verified_by_their_words(monkeypatch, spoiled):
+    """The exact check holds even where all words and all windows share a hash."""
+    if spoiled:
+        monkeypatch.setattr("textwarden.llm.words.hash_ranges", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    left, right = [], []
+    for k in range(60):
+        x = base[: r.randrange(101)]
+        y = base[: len(x) - r.randrange(12)] if len(x) > 12 else base[: r.randrange(101)]
+        for _ in range(k % 7):
+            y = [*y, f"z{r.randrange(3)}"] if not y or r.random() < 0.5 else [*y[: len(y) // 2], "q", *y[len(y) // 2 + 1 :]]
+        left.append(" ".join(x) if k else None)
+        right.append("\t".join(y).upper())
+    spec = nd.NearDedup(shingle=4)
+    got = nd.similar(pa.array(left), pa.array(right), spec)
+    sets = [(shingles(x, 4), shingles(y, 4)) for x, y in zip(left, right)]
+    long = [len((x or "").split()) >= 4 and len(y.split()) >= 4 for x, y in zip(left, right)]
+    assert got.tolist() == [ok and 100 * len(x & y) >= 80 * len(x | y) for ok, (x, y) in zip(long, sets)]
+    assert 5 < got.sum() < 55
+
+
+def test_large_groups_are_banded_again(spark):
+    """Many texts that share a boilerplate half, among them near copies; groups are far larger than a block."""
+    r = random.Random(11)
+    boiler = [f"b{i}" for i in range(60)]
+    rows = []
+    for k in range(90):
+        words = [*boiler, *(f"o{r.randrange(10**6)}" for _ in range(60))]
+        for j in range(2):
+            words[100 + j] = f"v{k}-{j}"
+            rows.append((2 * k + j, " ".join(words)))
+    want = check(spark, rows, block=16, rows=2, bands=48)
+    assert len({c for _, c in want.values()}) == 90
+
+
+def test_no_table_is_left_behind(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    nd.near_duplicates(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")], "doc_id long, text string")).count()
+    assert [x.name.split("-")[0] for x in set(folder.iterdir()) - before] == ["components"]

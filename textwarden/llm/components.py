@@ -17,21 +17,29 @@ def components(links: DataFrame) -> DataFrame:
     of an id to itself links nothing.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state = _state(edges)
     while True:
-        # Large star: every larger neighbour of u is linked to u's smallest neighbour.
+        # Large star: every larger neighbour of u is linked to u's smallest neighbour. The smallest ones are written
+        # before the join, so that both its sides are plain shuffles, whose hot ids Spark splits over tasks.
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large")
-        # Small star: u and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        drop_stored(large)
-        drop_stored(edges)
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large = stored(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        # Small star: u and its smaller neighbours are linked to the smallest of them. Here u is the larger end, so the links of
+        # a hot centre are keyed by its many neighbours.
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = stored(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "small")
+        before, state = state, _state(small)
+        for table in (least, large, edges):
+            drop_stored(table)
         edges = small
-        if not changed:
+        if state == before:
             break
     labels = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and two sums of hashes of distinct edges: equal where, and but for chance only where, the edges are."""
+    hashes = F.xxhash64("a", "b"), F.xxhash64("b", "a")
+    return tuple(edges.agg(F.count("*"), *(F.bit_xor(h) for h in hashes), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first())

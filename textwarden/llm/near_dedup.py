@@ -3,10 +3,10 @@
 Texts are sets of distinct word shingles (64-bit hashes). Documents of equal sets collapse to their
 smallest id first, so thousands of copies cost one row. The rest is banded; in each bucket all members
 are compared with its most central member, the hub. Members of one hub's buckets that this leaves in
-different components are compared with each other, on longer signatures and in blocks, so that no link is
-lost; pairs are not made into rows before they pass. A candidate pair is compared one batch of signature
+different components are compared with each other, on longer signatures and in blocks; pairs are not made into rows before they pass. A candidate pair is compared one batch of signature
 values at a time and given up as soon as the posterior probability of a similarity at or over the
-threshold falls below ``miss``; survivors are verified exactly on their full shingle sets.
+threshold falls below ``miss``; survivors are verified exactly on their full shingle sets, by their words' bytes.
+In groups of over ``block`` members the second pass compares those that agree on a longer band.
 
 Cases: null and empty texts have no set and link with nothing; texts shorter than a shingle are one shingle
 of all their words; rows with a null id are returned as they are, with no component of their own
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop_stored, stored
-from .words import SPACES, U, Words, combine, lean, mix, word_groups
+from .store import Scratch, drop_stored
+from .words import SPACES, U, Words, combine, equal_ranges, lean, mix, word_groups
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
-    """The pairs (a, b) that pass all signature batches."""
+    """The pairs (a, b) that pass all signature batches. Both tables are written ones: Spark splits the pairs of a hot hub."""
     steps = least_matches(spec, spec.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +165,9 @@ def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs with one of ``ids`` (distinct). Few ids go to the texts; if they are many, both are shuffled."""
-    ids = stored(ids, "ids")
+    ids = scratch.stored(ids, "ids")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")
 
 
@@ -175,25 +175,82 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=U).astype(np.int64))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. docs: id, text; sigs: id, f1."""
+#: Bytes of both sides' texts that pairs are verified in at once; a longer pair is verified alone.
+PAIR_BYTES = 2 << 20
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _word_ids(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number) of each word; numbers are equal where, and only where, the words' bytes are."""
+    h = w.hashes()
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    size, like = w.ends - w.starts, first[ids]
+    if (size == size[like]).all() and equal_ranges(w.data, w.starts, w.data, w.starts[like], size).all():
+        return h, ids
+    raw, known = w.data.tobytes(), {}
+    return h, np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip(w.starts.tolist(), w.ends.tolist(), strict=True)], np.int64)
+
+
+def _window_ids(hashes: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """A number for each window of k words, equal where, and only where, all their words are."""
+    keys = combine(hashes, k)
+    _, first, out = np.unique(keys, return_index=True, return_inverse=True)
+    like, n = first[out], len(keys)
+    if all((ids[j : n + j] == ids[like + j]).all() for j in range(k)):
+        return out
+    out = ids[:n]
+    for j in range(1, k):
+        out = np.unique(out * (int(ids.max()) + 1) + ids[j : n + j], return_inverse=True)[1]
+    return out
+
+
+def similar(left: pa.Array, right: pa.Array, spec: NearDedup) -> np.ndarray:
+    """Whether the full shingle sets of left[i] and right[i], words compared and not hashes, are similar enough.
+
+    Of texts shorter than a shingle, equal ones have been one document since before; different ones are not similar.
+    """
+    m = len(left)
+    texts = pa.concat_arrays([left, right])
+    w = next(word_groups(texts, SPACES, limit=1 << 62))
+    if len(w.starts) < spec.shingle:
+        return np.zeros(m, bool)
+    windows = _window_ids(*_word_ids(w), spec.shingle)
+    text = w.text_of[: len(windows)]
+    inside = np.flatnonzero(text == w.text_of[spec.shingle - 1 :])
+    width = len(w.starts)
+    of = np.unique(text[inside] * width + windows[inside])
+    n = np.bincount(of // width, minlength=2 * m)
+    pair = np.sort(of // width % m * width + of % width)
+    common = np.bincount(pair[1:][pair[1:] == pair[:-1]] // width, minlength=m)
+    return (common > 0) & (100 * common >= spec.percent * (n[:m] + n[m:] - common))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup, scratch: Scratch) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. docs: id, text; sigs: id, f1, which tells rows of one id apart."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in word_groups(b.column(1), SPACES):
-                found = shingle_sets(w, spec.shingle)
-                yield pa.record_batch([b.column(0).slice(w.rows.start, len(found)), pa.array([_fingerprint(s) if len(s) else None for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["id", "f1", "shingles"])
+            prints = [pa.array([_fingerprint(s) if len(s) else None for s in shingle_sets(w, spec.shingle)], pa.int64()) for w in word_groups(b.column(1), SPACES)]
+            yield pa.record_batch([b.column(0), pa.concat_arrays(prints) if prints else pa.array([], pa.int64()), b.column(1)], ["id", "f1", "text"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, i = np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(b.column(2), b.column(3), strict=True)]), 0
+            while i < b.num_rows:
+                before = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + PAIR_BYTES, side="right")))
+                keep = pa.array(np.flatnonzero(similar(b.column(2).slice(i, j - i), b.column(3).slice(i, j - i), spec)) + i)
+                yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
+                i = j
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = _texts_of(docs, ids).mapInArrow(lean(sets), "id long, f1 long, shingles array<long>")
-    full = stored(full.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]), "shingles")
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
-    return common.where(F.lit(100) * F.col("i") >= F.lit(spec.percent) * (F.col("n") - F.col("i"))).select("a", "b")
+    found = _texts_of(docs, ids, scratch).mapInArrow(lean(marked), "id long, f1 long, text string")
+    full = scratch.stored(found.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+    both = pairs.join(full.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def _rest(spec: NearDedup):
-    """Of two blocks of one hub's members: pairs of different components that pass all signature batches."""
+    """Of two blocks of one group's members: pairs of different components that pass all signature batches."""
     steps = least_matches(spec, spec.long)
 
     def run(table: pa.Table) -> pa.Table:
@@ -214,54 +271,84 @@ def _rest(spec: NearDedup):
     return run
 
 
-def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketched = stored(docs.mapInArrow(lean(_sketch(spec)), "id long, n long, f1 long, f2 long, sig binary"), "sketch")
-    known = sketched.where("id is not null and n > 0")
-    # One row for each distinct set; a repeated id with different texts belongs to several of them.
-    classes = stored(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
-    members = known.join(classes.where("copies > 1").select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    sigs = classes.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sig")).alias("s")).select("id", "s.f1", "s.sig")
+def _bands(spec: NearDedup, rows: int, column: str):
+    """(id, key) of every band of ``rows`` values of each signature; a column of components is passed on."""
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            m = _matrix(b.column(1), spec.size).reshape(b.num_rows, spec.bands, spec.rows).astype(U)
-            key = np.broadcast_to(np.arange(1, spec.bands + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F), (b.num_rows, spec.bands))
-            for k in range(spec.rows):
+            m = _matrix(b.column(1), len(b.column(1)[0].as_buffer()) // 2)
+            bands = m.shape[1] // rows
+            m = m[:, : bands * rows].reshape(b.num_rows, bands, rows).astype(U)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F), (b.num_rows, bands))
+            for k in range(rows):
                 key = mix(key * U(0x9E3779B97F4A7C15) + m[:, :, k] + U(1))
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), spec.bands)), pa.array(key.ravel().view(np.int64))], ["id", "bucket"])
+            yield pa.record_batch([*(pa.array(np.repeat(c.to_numpy(), bands)) for c in (b.column(0), *b.columns[2:])), pa.array(key.ravel().view(np.int64))], ["id", *b.schema.names[2:], column])
+
+    return lean(run)
+
+
+def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: id (cast to long), n_shingles, component_id, kept."""
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, spec, scratch)
 
-    banded = sigs.select("id", "sig").mapInArrow(lean(band), "id long, bucket long")
+
+def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> DataFrame:
+    # Aggregates are written before they are joined: both sides of such a join are plain shuffles, whose hot keys
+    # Spark splits over tasks.
+    keep = scratch.stored
+    sketched = keep(docs.mapInArrow(lean(_sketch(spec)), "id long, n long, f1 long, f2 long, sig binary"), "sketch")
+    known = sketched.where("id is not null and n > 0")
+    # One row for each distinct set; a repeated id with different texts belongs to several of them.
+    classes = keep(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
+    members = known.join(classes.where("copies > 1").select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    sigs = keep(classes.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sig")).alias("s")).select("id", "s.f1", "s.sig"), "signatures")
+    banded = keep(sigs.select("id", "sig").mapInArrow(_bands(spec, spec.rows, "bucket"), "id long, bucket long"), "bands")
     # The hub of a bucket is the member whose buckets hold the most members in all: of a group of near
     # copies, most likely the text that the others were made from.
-    banded = stored(banded, "bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(banded.join(sizes, "bucket"), "shared")
-    drop_stored(banded)
+    sizes = keep(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = keep(banded.join(sizes, "bucket"), "shared")
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     shared = shared.join(weight, "id")
-    hubs = shared.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("hub"))
-    buckets = stored(shared.select("id", "bucket", "size").join(hubs, "bucket"), "buckets")
-    stars = stored(buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
-    first = stored(verify(stored(prune(stars, sigs, spec), "survivors"), docs, sigs, spec), "links")
-    # Second pass: members of a hub's buckets that the stars left apart, in blocks of bounded size.
-    labels = stored(components(first), "labels")
-    groups = buckets.where("size > 2").select("hub", "id").distinct().join(labels, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))
-    apart = groups.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("hub", "size")
-    blocks = F.ceil(F.col("size") / spec.block).cast("int")
-    members_of = stored(groups.join(apart, "hub").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "apart")
-    tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    long = stored(_sketches(_texts_of(docs, members_of.select("id").distinct()), sigs, spec), "long")
-    rest = tasks.join(long, "id").groupBy("hub", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    second = verify(rest, docs, sigs, spec)
+    hubs = keep(shared.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), F.col("id"))).alias("s")).select("bucket", F.col("s.id").alias("hub")), "hubs")
+    buckets = keep(shared.select("id", "bucket", "size").join(hubs, "bucket"), "buckets")
+    stars = keep(buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
+    first = keep(verify(keep(prune(stars, sigs, spec), "survivors"), docs, sigs, spec, scratch), "links")
+    # Second pass: members of a hub's buckets that the stars left apart.
+    linked = components(first)
+    labels = keep(linked, "labels")
+    drop_stored(linked)
+    groups = buckets.where("size > 2").select("hub", "id").distinct().join(labels, "id", "left").select(F.col("hub").alias("group"), "id", F.coalesce("component", "id").alias("component"))
+    apart = keep(_apart(groups), "apart")
+    members_of = keep(groups.join(apart, "group"), "members")
+    long = keep(_sketches(_texts_of(docs, members_of.select("id").distinct(), scratch), sigs, spec), "long")
+    # Members of a large group are compared where they agree on a longer band of the long signatures; a pair at the
+    # threshold misses all of these with a probability of about 1e-5. Of small groups all members are compared.
+    large = members_of.where(F.col("size") > spec.block).select("id", "component").distinct()
+    closer = keep(long.join(large, "id").select("id", "sig", "component").mapInArrow(_bands(spec, 2 * spec.rows, "group"), "id long, component long, group long"), "closer")
+    again = keep(_apart(closer), "again")
+    members_of = members_of.where(F.col("size") <= spec.block).unionByName(closer.join(again, "group"))
+    members_of = members_of.withColumn("blocks", F.ceil(F.col("size") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    rest = tasks.join(long, "id").groupBy("group", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
+    rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    second = verify(rest, docs, sigs, spec, scratch)
     final = components(first.unionByName(second).unionByName(members))
     out = sketched.select("id", "n").join(final, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    # What the result reads stays: one narrow row for each document.
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = scratch.stored(out, "components", keep=True)
+    drop_stored(final)
+    return out
+
+
+def _apart(groups: DataFrame) -> DataFrame:
+    """(group, size) of the groups whose members are of several components."""
+    return groups.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("group", "size")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +359,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group: the one with the smallest id (five-word shingles). Rows without an id stay."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("doc_id")]
-    out = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    groups = near_duplicates(docs)
+    with Scratch(spark) as scratch:
+        out = scratch.stored(groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone", keep=True)
+    drop_stored(groups)
     gone = F.broadcast(out) if out.count() <= BROADCAST_IDS else out.hint("merge")
     return docs.toDF(*names).join(gone, F.col(at) == F.col("gone"), "left_anti").toDF(*docs.columns)

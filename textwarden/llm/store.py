@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode (tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "textwarden-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -22,6 +25,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, with its schema."""
     path = fresh_path(df.sparkSession, name)
@@ -31,8 +39,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete a table written by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+class Scratch:
+    """Written tables of one computation, deleted when it ends, but for those that its result reads."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        if not keep:
+            self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
