@@ -1,16 +1,19 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from textwarden.llm import personal_data as p
 
 RULES = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: max(map(int, m.split("."))) <= 255),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(re.fullmatch("0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])", x) for x in m.split("."))),
     "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub(r"[ -]", "", m)) <= 19 and luhn(re.sub(r"[ -]", "", m))),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.findall("[0-9]", m)) <= 15),
 }
@@ -22,7 +25,7 @@ def luhn(digits):
 
 def brute(text):
     text = text or ""
-    found = [(m.start(), k, m.end()) for k, (rule, ok) in RULES.items() for m in re.finditer(rule, text) if ok(m[0])]
+    found = [(m.start(), k, m.end()) for k, (rule, ok) in RULES.items() for m in re.finditer(rule, text if k != "email" or "@" in text else "") if ok(m[0])]
     return sorted(found, key=lambda x: (x[0], list(RULES).index(x[1])))
 
 
@@ -52,6 +55,47 @@ def test_base_spans(text):
     assert [x for x in got if x[1] in p.BASE_KINDS] == brute(text)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["@", ".", "+", "-", " ", "(", ")", "a", "Z9", "_%", "é", "0", "1", "25", "255", "256", "007", "\n", "4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+1 499 555-6503"]), max_size=40))
+def test_base_spans_of_any_text(parts):
+    text = "".join(parts)
+    assert sorted(p.base_spans(text)) == sorted(brute(text))
+
+
+OCTET = "0" * 5000 + "7"
+LONG = [
+    ("7" * 1_000_000, []),
+    ("a" * 1_000_000 + " @", []),
+    ("@" * 1_000_000, []),
+    ("." * 1_000_000, []),
+    ("+" * 1_000_000, []),
+    ("1." * 500_000, [(8 * k, "ip", 8 * k + 7) for k in range(125_000)]),
+    ("a@b" * 300_000, []),
+    ("a." * 500_000 + "@b.c", [(0, "email", 1_000_004)]),
+    ("a@" + "b." * 500_000, [(0, "email", 1_000_001)]),
+    ("+1" + "(" * 1_000_000, []),
+    ("+1(2" * 250_000, []),
+    ("1 " * 500_000, []),
+    (f"1.{OCTET}.2.3 1.{'9' * 5000}.2.3 {'8' * 6000}.1.1.1", [(0, "ip", 5007)]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LONG, ids=range(len(LONG)))
+def test_long_words_take_linear_time(text, want):
+    field, began = p.trained(), time.process_time()
+    got = p.find(pa.array([text]), field)[0]
+    assert time.process_time() - began < 3
+    assert [x for x in got if x[1] in p.BASE_KINDS] == want
+
+
+def test_spans_of_the_field_lie_apart_from_base_spans():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        made = [[(int(s), "x", int(s + n)) for s, n in zip(r.integers(0, 60, 8), r.integers(1, 9, 8))] for _ in range(2)]
+        spans, more = made[0][: r.integers(9)], made[1]
+        assert p._apart_from(spans, more) == [x for x in more if all(x[2] <= s or x[0] >= e for s, _, e in spans)]
+
+
 def test_whole_table(spark, sf="/root/testdata/sf0.01"):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = p.op6_personal_data(spark, sf).collect()

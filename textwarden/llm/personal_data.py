@@ -17,9 +17,11 @@ Kinds may overlap each other; spans of one kind don't.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,34 @@ KINDS = (*BASE_KINDS, "secret", "account")
 LABELS = ("nothing", "secret", "account")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The kinds' patterns in forms that a text of any shape takes linear time to search: possessive, and begun at
+# the front of a run of digits only. An address is searched outwards from its @.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, leftmost and non-overlapping."""
+    free = 0  # what lies before is matched or can't begin an address
+    at = text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        start = free + len(before.rstrip(_LOCAL))
+        free = at + 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            free = m.end()
+        at = text.find("@", free)
+
+
+def _is_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -54,9 +78,8 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, leftmost and non-overlapping for each kind."""
     out = []
-    if "@" in text:
-        out += [(m.start(), "email", m.end()) for m in _EMAIL.finditer(text)]
-    out += [(m.start(), "ip", m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(s, "email", e) for s, e in _emails(text)]
+    out += [(m.start(), "ip", m.end()) for m in _IP.finditer(text) if all(map(_is_byte, m[0].split(".")))]
     out += [(m.start(), "card", m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [(m.start(), "phone", m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -218,46 +241,45 @@ def trained(rows: int = 3000, seed: int = 7, steps: int = 300, penalty: float =
     table = labelled_table(rows, seed)
     shape, cue, first = _feature_rows([w for w, _ in table])
     y = np.concatenate([labels for _, labels in table])
-    k, n = len(LABELS), len(table)
+    k = len(LABELS)
     field = Field(np.zeros((SHAPES, k)), np.zeros((3, N_CUES, k)), np.zeros((k, k)), np.zeros(k))
+    # Words stand by their place in the row, then by row, longer rows first: step t is a slice, and so is what it goes on from.
     length = np.diff(first)
-    width = int(length.max())
-    at = np.minimum(first[:-1, None] + np.arange(width), len(y) - 1)
-    real = np.arange(width) < length[:, None]
-    place = np.arange(len(y)) - np.repeat(first[:-1], length)
-    befores = [cue, *(np.where(place >= b, np.roll(cue, b), 0) for b in (1, 2))]
+    by = np.argsort(-length, kind="stable")
+    many = [int((length > t).sum()) for t in range(int(length.max()))]
+    where = np.concatenate([first[:-1][by[:m]] + t for t, m in enumerate(many)])
+    begin = np.concatenate(([0], np.cumsum(many)))
+    place = np.repeat(np.arange(len(many)), many)
+    befores = [np.where(place >= back, cue[np.maximum(where - back, 0)], 0) for back in range(3)]
+    shape, y = shape[where], y[where]
     weights = [field.shape, field.cue, field.move, field.begin]
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in weights]
     target, pairs = np.eye(k)[y], np.zeros((k, k))
-    inner = np.flatnonzero(place > 0)
-    np.add.at(pairs, (y[inner - 1], y[inner]), 1)
-    softmax = lambda x, axis: np.exp(x - x.max(axis=axis, keepdims=True))
+    for t in range(1, len(many)):
+        np.add.at(pairs, (y[begin[t - 1] : begin[t - 1] + many[t]], y[begin[t] : begin[t + 1]]), 1)
+    counted = lambda ids, gap, size: np.stack([np.bincount(ids, gap[:, label], size) for label in range(k)], axis=1)
+    alpha, beta, scale = np.empty((len(y), k)), np.empty((len(y), k)), np.empty((len(y), 1))
     for step in range(1, steps + 1):
-        e = field.emissions(shape, cue, first)
-        e = np.exp(e - e.max(axis=1, keepdims=True))[at]
-        m = softmax(field.move, (0, 1))
-        alpha, beta = np.zeros((width, n, k)), np.ones((width, n, k))
-        for t in range(width):
-            a = (alpha[t - 1] @ m if t else np.exp(field.begin)) * e[:, t]
-            a = a / a.sum(axis=1, keepdims=True)
-            alpha[t] = np.where(real[:, t, None], a, alpha[t - 1] if t else a)
+        e = field.shape[shape]
+        for back, ids in enumerate(befores):
+            e += field.cue[back][ids]
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        m = np.exp(field.move - field.move.max())
+        for t, n in enumerate(many):
+            i = begin[t]
+            a = alpha[begin[t - 1] : begin[t - 1] + n] @ m if t else np.exp(field.begin)
+            a = a * e[i : i + n]
+            scale[i : i + n] = a.sum(axis=1, keepdims=True)
+            alpha[i : i + n] = a / scale[i : i + n]
+        beta[:] = 1.0
         got_pairs = np.zeros((k, k))
-        for t in range(width - 1, 0, -1):
-            b = e[:, t] * beta[t]
-            on = real[:, t]
-            joint = alpha[t - 1][:, :, None] * m * b[:, None, :]
-            got_pairs += (joint / joint.sum(axis=(1, 2), keepdims=True))[on].sum(axis=0)
-            back = b @ m.T
-            beta[t - 1] = np.where(on[:, None], back / back.sum(axis=1, keepdims=True), 1.0)
-        gamma = (alpha * beta).transpose(1, 0, 2)
-        gamma = (gamma / gamma.sum(axis=2, keepdims=True))[real]
-        gap = (gamma - target) / len(y)
-        slopes = [np.zeros_like(a) for a in weights]
-        np.add.at(slopes[0], shape, gap)
-        for b, ids in enumerate(befores):
-            np.add.at(slopes[1][b], ids, gap)
-        slopes[2] += (got_pairs - pairs) / len(y)
-        slopes[3] += gap[first[:-1]].sum(axis=0)
+        for t in range(len(many) - 1, 0, -1):
+            i, j, n = begin[t], begin[t - 1], many[t]
+            b = e[i : i + n] * beta[i : i + n] / scale[i : i + n]
+            got_pairs += alpha[j : j + n].T @ b
+            beta[j : j + n] = b @ m.T
+        gap = (alpha * beta - target) / len(y)
+        slopes = [counted(shape, gap, SHAPES), np.stack([counted(ids, gap, N_CUES) for ids in befores]), (got_pairs * m - pairs) / len(y), gap[: many[0]].sum(axis=0)]
         for a, g, (m1, m2) in zip(weights, slopes, moments, strict=True):
             g += penalty * a
             m1 += 0.1 * (g - m1)
@@ -323,6 +345,14 @@ def _field_spans(data: np.ndarray, labels: np.ndarray, starts: np.ndarray, ends:
     return out
 
 
+def _apart_from(spans: list[tuple[int, str, int]], more: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Those of ``more`` that overlap none of ``spans``."""
+    starts = sorted(s for s, _, _ in spans)
+    reach = list(accumulate((e for _, _, e in sorted(spans)), max))
+    # Of the spans that begin before x ends, the one that reaches furthest must end where x begins or before.
+    return [x for x in more if not (k := bisect_left(starts, x[2])) or reach[k - 1] <= x[0]]
+
+
 def find(texts: pa.Array, field: Field) -> list[list[tuple[int, str, int]]]:
     """The spans of each text, by start, then kind in the order of KINDS."""
     out: list[list[tuple[int, str, int]]] = []
@@ -341,7 +371,7 @@ def find(texts: pa.Array, field: Field) -> list[list[tuple[int, str, int]]]:
             if marked[i]:
                 own = slice(w.first[i], w.first[i + 1])
                 more = _field_spans(data[a:b], labels[own], w.starts[own] - a, w.ends[own] - a)
-                spans += [x for x in more if all(x[2] <= s or x[0] >= e for s, _, e in spans)]
+                spans += _apart_from(spans, more)
             out.append(sorted(spans, key=lambda x: (x[0], order[x[1]])))
     return out
 
