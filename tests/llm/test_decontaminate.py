@@ -1,7 +1,16 @@
 import hashlib
+import random
 import re
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from textwarden.llm import decontaminate as d
+from textwarden.llm.automaton import Automaton
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,13 +67,14 @@ def test_equals_brute_force(spark):
 
 
 def test_more_automata_than_one(spark, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(d, "MAX_STATES", 30)
+    monkeypatch.setattr(d, "HOLD_BYTES", 200)
     assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
 
 
 def test_offsets_point_into_the_original(spark):
     row = d.contamination(spark.createDataFrame([(1, "Ü ü!  Short,\tONE é ...")], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).first()
-    assert [("Ü ü!  Short,\tONE é ..."[h.start : h.end], h.item) for h in row.hits] == [("Short,\tONE é", "2")]
+    assert [("Ü ü!  Short,\tONE é ..."[h.start : h.end], h.first_word, h.n_words) for h in row.ranges] == [("Short,\tONE é", 2, 3)] and row["items"] == ["2"]
 
 
 def test_whole_table(spark, sf="/root/testdata/sf0.01"):
@@ -81,3 +91,65 @@ def test_stage(spark, tmp_path):
     out = d.decontaminate_stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted((r.doc_id for r in out.collect()), key=str) == [3, 4, 5, 8, 9]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=5), min_size=1, max_size=8), st.lists(st.integers(-1, 3), max_size=400))
+def test_automaton_finds_what_comparing_finds(patterns, words):
+    sizes = sorted({len(p) for p in patterns})
+    by = [np.array([p for p in patterns if len(p) == k]) for k in sizes]
+    a = Automaton(by, 4)
+    ends = dict(zip(a.ends.tolist(), [tuple(p) for x in by for p in x.tolist()]))
+    got = a.scan(np.array(words, np.int64))
+    for i, state in enumerate(got.tolist()):
+        want = [tuple(words[i + 1 - k : i + 1]) for k in sizes[::-1] if i + 1 >= k and words[i + 1 - k : i + 1] in patterns]
+        chain = []
+        while state:
+            chain.append(ends[state])
+            state = int(a.shorter[state])
+        assert chain == want
+
+
+def local(texts, items, window=10):
+    """Of texts: ranges and items, without Spark."""
+    names = sorted({n for n, _ in items})
+    part = d._part([(names.index(n), d._words(t.encode())) for n, t in items], window)
+
+    class Sent:
+        value = part
+
+    rows = next(d._scan([Sent()], names, 0)(iter([pa.record_batch([pa.array(texts)], ["t"])])))
+    return part, rows.column("ranges").to_pylist(), rows.column("items").to_pylist()
+
+
+def test_long_text_of_short_items_stays_small():
+    text = " ".join(f"i{k % 20}" for k in range(300_000))
+    items = [(f"n{k:02}", f"i{k}") for k in range(20)]
+    local(["warm up"], items)
+    began = time.process_time()
+    _, ranges, found = local([text], items)
+    assert time.process_time() - began < 2
+    assert [(r["first_word"], r["n_words"], r["start"], r["end"]) for r in ranges[0]] == [(0, 300_000, 0, len(text))] and found[0] == [n for n, _ in items]
+
+
+def test_memory_of_a_large_benchmark():
+    """A megabyte of items: at most 75 bytes for each byte of text, and the planted passages are found in one scan."""
+    r = random.Random(1)
+    items = [(f"q{k}", " ".join(f"w{r.randrange(20_000)}" for _ in range(60))) for k in range(2800)]
+    docs = [items[k][1][r.randrange(100) :] for k in range(0, 2800, 40)] + [" ".join(f"w{r.randrange(20_000)}" for _ in range(500)) for _ in range(50)]
+    part, ranges, found = local(docs, items)
+    assert part.automaton.bytes < 75 * sum(len(t) for _, t in items)
+    assert [x for x in found[:70]] == [[f"q{k}"] for k in range(0, 2800, 40)] and not any(found[70:]) and not any(ranges[70:])
+
+
+@pytest.mark.parametrize("spoiled", [False, True])
+def test_words_that_share_a_hash_with_the_benchmark(monkeypatch, spoiled):
+    if spoiled:  # hashes of the length alone: the benchmark's words have different ones, the documents' words don't
+        short = lambda data, starts, ends: (ends - starts).astype(np.uint64) << np.uint64(50)
+        monkeypatch.setattr("textwarden.llm.words.hash_ranges", short)
+        monkeypatch.setattr(d, "hash_ranges", short)
+    items = [("x", "a bb ccc"), ("y", "dddd a")]
+    texts = ["a bb ccc", "a bx ccc a bb ccc", "dddd b a", "ddxd a dddd a", ""]
+    _, ranges, found = local(texts, items, 3)
+    assert found == [["x"], ["x"], [], ["y"], []]
+    assert [[(r["first_word"], r["n_words"]) for r in x] for x in ranges] == [[(0, 3)], [(3, 3)], [], [(2, 2)], []]
