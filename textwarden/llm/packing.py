@@ -4,8 +4,9 @@ Lengths take at most ``capacity`` values, so the whole corpus is planned from it
 bin, a bitset subset-sum over the lengths that are left (with their counts) finds the fullest feasible
 combination beside the longest piece, which is removed as often as the counts allow. The plan's size
 depends on the capacity and not on the corpus. Pieces find their place by their rank among those of
-equal length: a local rank from the task that made them plus the count in earlier tasks, so a length that
-a third of all pieces have is nobody's single group.
+equal length: they are dealt by ranges of (length, task that made them, number there), so that a length that a third of all
+pieces have is spread over many partitions, and are numbered within their partition; the counts of each length in
+each partition, at most as many as partitions and lengths together, tell what lies before.
 
 Cases: a null or empty text is one piece holding the end id alone; repeated rows and rows without an id
 are documents of their own; a text of more than ``capacity`` ids is cut into full pieces and a rest; ties of
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import drop_stored, stored
 from .tokens import crc32_of, encoded_groups, tokenizer_path
 from .words import lean
 
@@ -79,8 +80,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
     return steps
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """Stored rows: id, piece, start, length, ids (little-endian uint16), ids_crc32, task, local_rank (among the task's pieces of that length)."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Stored rows: id, piece, start, length, ids (little-endian uint16; on demand), ids_crc32, task, local_rank (among the task's pieces of that length)."""
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
                 values, first, many = np.unique(length[by], return_index=True, return_counts=True)
                 rank[by] = np.arange(len(by)) - np.repeat(first, many) + np.repeat(seen[values], many)
                 seen[values] += many
-                small = ids.astype("<u2")
+                small = ids.astype("<u2") if with_ids else None
                 cut = [(i, i + k) for i, k in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield pa.record_batch(
                     [
@@ -107,22 +108,40 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
                         pa.array(piece, pa.int32()),
                         pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()),
-                        pa.array([small[i:j].tobytes() for i, j in cut], pa.binary()),
+                        *([pa.array([small[i:j].tobytes() for i, j in cut], pa.binary())] if with_ids else []),
                         pa.array([crc32_of(ids[i:j]) for i, j in cut], pa.int64()),
                         pa.array(np.full(len(owner), task), pa.int32()),
                         pa.array(rank, pa.int64()),
                     ],
-                    ["id", "piece", "start", "length", "ids", "ids_crc32", "task", "local_rank"],
+                    ["id", "piece", "start", "length", *["ids"] * with_ids, "ids_crc32", "task", "local_rank"],
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return stored(rows.mapInArrow(lean(run, "tokens"), "id long, piece int, start long, length long, ids binary, ids_crc32 long, task int, local_rank long"), "pieces")
+    return stored(rows.mapInArrow(lean(run, "tokens"), f"id long, piece int, start long, length long, {'ids binary, ' * with_ids}ids_crc32 long, task int, local_rank long"), "pieces")
 
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset instead of the ranks."""
-    counts = stored(made.groupBy("length", "task").count(), "lengths")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
+    order, columns = ["length", "task", "local_rank"], [c for c in made.columns if c not in ("task", "local_rank")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            values, first, many = np.unique(b.column(b.schema.get_field_index("length")).to_numpy(), return_index=True, return_counts=True)
+            nth = np.arange(b.num_rows) + np.repeat(seen[values] - first, many)  # the lengths ascend
+            seen[values] += many
+            yield pa.record_batch([*b.columns[:-2], pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(nth)], [*b.schema.names[:-2], "part", "nth"])
+
+    dealt = made.select(*columns, "task", "local_rank").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in made.select(*columns).schema), "part int, nth long"])
+    ordered = stored(dealt.mapInArrow(lean(number), schema), "ordered")
+    # At most as many rows as partitions and lengths together: a partition holds a run of the ordered lengths.
+    counts = np.array([tuple(r) for r in ordered.groupBy("length", "part").count().collect()], np.int64).reshape(-1, 3)
+    counts = counts[np.lexsort((counts[:, 1], counts[:, 0]))]
+    firsts, sums = np.unique(counts[:, 0], return_index=True)[1], np.cumsum(counts[:, 2]) - counts[:, 2]
+    base = sums - np.repeat(sums[firsts], np.diff(np.append(firsts, len(counts))))
+    base_keys = (counts[:, 0] << 32) | counts[:, 1]
+    histogram = {k: int(n) for k, n in enumerate(np.bincount(counts[:, 0], counts[:, 2])) if n}
     # Places: for each length, ranks from lo on lie in bins from seq on, so many to a bin, from offset on.
     length, lo, seq, many, offset, used, bins = [], [], [], [], [], {}, 0
     for s in plan(histogram, capacity):
@@ -143,20 +162,17 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, rank = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            size, part, nth = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "part", "nth"))
+            rank = base[np.searchsorted(base_keys, (size << 32) | part)] + nth
             i = np.searchsorted(keys, (size << shift) | rank, side="right") - 1
-            nth = rank - places[1, i]
+            within = rank - places[1, i]
             yield pa.record_batch(
-                [*b.columns[:-1], pa.array(places[2, i] + nth // places[3, i]), pa.array(places[4, i] + nth % places[3, i] * size)],
-                [*b.schema.names[:-1], "sequence_id", "offset"],
+                [*b.columns[:-2], pa.array(places[2, i] + within // places[3, i]), pa.array(places[4, i] + within % places[3, i] * size)],
+                [*columns, "sequence_id", "offset"],
             )
 
-    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "task", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
-    columns = [c for c in made.columns if c not in ("task", "local_rank")]
-    ranked = made.join(bases, ["length", "task"]).select(*columns, (F.col("base") + F.col("local_rank")).alias("rank"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema[:-1]), "sequence_id long", "offset long"])
-    return ranked.mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in made.select(*columns).schema), "sequence_id long", "offset long"])
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -167,10 +183,18 @@ def sequences(packed: DataFrame) -> DataFrame:
     return rows.select("sequence_id", "n_ids", joined.alias("ids"), F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["piece"].alias("piece"), x["offset"].alias("offset"), x["length"].alias("length"))).alias("pieces"))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs (doc_id, text)."""
+    made = pieces(docs, with_ids=False)
+    out = pack(made).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    drop_stored(made)
+    return out
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids"))
-    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return placed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(pieces(docs).drop("ids")).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Every document's pieces with their places, as :func:`placed` gives them; null and empty texts are one piece holding the end id."""
+    return placed(docs)
