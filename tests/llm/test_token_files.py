@@ -36,6 +36,33 @@ def test_edge_texts(spark, encode, tmp_path, shards):
     assert sorted(got, key=lambda r: r[1]) == expected(docs, encode)
 
 
+def test_a_repeated_id_is_dealt_to_several_shards(spark, encode, tmp_path):
+    docs = [(7 if k % 3 else None, f"text {k} " * (k % 5 + 1)) for k in range(400)] + [(k, "x") for k in range(20)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    tf.write(rows, f"file://{tmp_path}/t", shards=12)
+    got = sorted((tuple(r) for r in tf.read(spark, f"file://{tmp_path}/t").collect()), key=lambda r: r[1])
+    assert got == expected(docs, encode)
+    sizes = [r.n for r in spark.read.parquet(f"file://{tmp_path}/t/shards").join(spark.read.parquet(f"file://{tmp_path}/t/blocks"), "shard").groupBy("shard").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()]
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+
+
+def test_reading_begins_at_a_checkpoint(encode):
+    r = np.random.default_rng(5)
+    counts = np.array([1, 700, 256, 3000])
+    ids = r.integers(0, 300, counts.sum()).astype(np.uint32)
+    lengths = tf.code_lengths(np.bincount(ids, minlength=49_408))
+    bits, begin, at = tf.encode(ids, counts, lengths, tf.canonical(lengths))
+    first, _ = tf._runs(counts)
+    points, cut, ends = at[first], np.cumsum(-(-counts // tf.CHECKPOINT)), np.cumsum(counts)
+    docs = [(k, int(n), bits[begin[k] : begin[k + 1]], (points[cut[k] - -(-n // tf.CHECKPOINT) : cut[k]] - 8 * begin[k]).astype("<u4").tobytes()) for k, n in enumerate(counts)]
+    block, table = tf.pack_block(docs), tf.decode_table(lengths)
+    assert (tf.unpack_block(block, table)[2] == ids).all()
+    for k, n in enumerate(counts.tolist()):
+        own = ids[ends[k] - n : ends[k]]
+        for a, m in ((0, None), (n // 2, None), (n // 2, 10), (n - 1, 5), (255, 2), (n, 1), (0, n)):
+            assert (tf.ids_from(block, k, a, table, m) == own[a : None if m is None else a + m]).all()
+
+
 def test_empty(spark, tmp_path):
     tf.write(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/t")
     assert tf.read(spark, f"file://{tmp_path}/t").count() == 0

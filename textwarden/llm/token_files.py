@@ -2,7 +2,8 @@
 
 Global counts of the ids give code lengths (package-merge, at most LIMIT bits), which fix the canonical
 code; the code book is one byte for each id. Documents are coded where they are tokenised, dealt to
-shards by ascending doc_id (nulls first), and joined to blocks of about BLOCK_IDS ids. A block can be decoded
+shards of about SHARD_IDS ids by ascending doc_id (nulls first; MAX_SHARDS shards at most, which then grow), and joined to
+blocks of about BLOCK_IDS ids. A block can be decoded
 by itself: it holds its documents' ids and lengths and the bit offset of every CHECKPOINT-th id of each
 document, so a decoder steps through all checkpoints at once by table lookups, or starts at any of them.
 
@@ -14,7 +15,7 @@ for each document int64 doc_id, uint8 whether it has one, uint32 number of ids;
 checkpoint; the bits, each document's beginning on a byte. A document has ceil(ids / CHECKPOINT) checkpoints.
 
 Cases: a null or empty text is the end id alone; repeated and null doc_ids are documents of their own, in the
-order of their places in the input; a text of any length is one document, in a block of its own size; extra columns are not looked at;
+order of their places in the input, and are dealt to several shards where they are many; ids are cast to long; a text of any length is one document, in a block of its own size; extra columns are not looked at;
 an empty table gives no blocks.
 """
 
@@ -37,6 +38,8 @@ from .words import lean
 LIMIT = 16
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 18
+SHARD_IDS = 1 << 23
+MAX_SHARDS = 1 << 16
 MAGIC = b"HUF1"
 HEAD = "<4sIQI"
 
@@ -173,6 +176,37 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield vector_rows(total)
 
 
+#: A null id's place in the order of ids.
+_NULL = -(1 << 63)
+
+
+def _bounds(tokens: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, place) pairs, ascending, at most n - 1: each shard begins at one. Ids that stand for several shards are split by place."""
+    if n < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keyed = tokens.select(F.coalesce("id", F.lit(_NULL)).alias("id"), "place")
+    found = keyed.select(F.percentile_approx("id", [k / n for k in range(1, n)], 8 * n)).first()[0] or []
+    ids, many = np.unique(np.array(found, np.int64), return_counts=True)
+    pairs = {(i, -1) for i in ids.tolist()}
+    hot = ids[many > 1].tolist()  # fewer than n
+    if hot:
+        m = int(many.max())
+        rows = keyed.where(F.col("id").isin(hot)).groupBy("id").agg(F.percentile_approx("place", [k / (m + 1) for k in range(1, m + 1)], 8 * m).alias("p"))
+        pairs |= {(r.id, place) for r in rows.collect() for place in r.p}
+    ordered = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return ordered[:, 0], ordered[:, 1]
+
+
+def _shard(bounds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many bounds are at or before each (id, place)."""
+    low, high = (np.searchsorted(bounds[0], ids, side=s) for s in ("left", "right"))
+    split = np.flatnonzero(high - low > 1)
+    for k in split[np.unique(ids[split], return_index=True)[1]].tolist():  # ids with bounds of their own, each once
+        same = split[ids[split] == ids[k]]
+        high[same] = low[k] + np.searchsorted(bounds[1][low[k] : high[k]], places[same], side="right")
+    return high
+
+
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, shards: int | None = None) -> None:
     """Write path/book (code lengths), path/blocks (shard, block, n_ids, data) and path/shards (shard, start)."""
     spark = docs.sparkSession
@@ -191,11 +225,13 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     tokens = stored(rows.mapInArrow(lean(tokenise, "tokens"), "id long, place long, ids binary"), "tokens")
-    lengths = code_lengths(summed(tokens.select("ids").mapInArrow(lean(_count), SCHEMA), VOCABULARY))
+    total = summed(tokens.select("ids").mapInArrow(lean(_count), SCHEMA), VOCABULARY)
+    lengths = code_lengths(total)
     codes = canonical(lengths)
-    n = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = tokens.select(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    bounds = np.unique(np.array(quantiles or [], np.int64))
+    # A small table is spread over the tasks that there are, a block each at least.
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.sum() // BLOCK_IDS))
+    n = shards or int(min(MAX_SHARDS, max(1, least, -(-total.sum() // SHARD_IDS))))
+    bounds = _bounds(tokens, n)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +245,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
                 points = (at[first] - 8 * np.repeat(begin[:-1], n_points)).astype("<u4")
                 cut = np.concatenate(([0], np.cumsum(n_points))).tolist()
                 ids = part.column(0)
-                shard = np.where(np.asarray(ids.is_null()), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right"))
+                shard = _shard(bounds, ids.fill_null(_NULL).to_numpy(), part.column(1).to_numpy())
                 yield pa.record_batch(
                     [
                         pa.array(shard, pa.int32()),
@@ -246,6 +282,25 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
     drop_stored(tokens)
 
 
+def ids_from(block: bytes, document: int, at: int, table: tuple[np.ndarray, np.ndarray], n: int | None = None) -> np.ndarray:
+    """Ids of one document of a block (its number there) from id ``at`` on, all or n; decoding starts at the checkpoint before."""
+    magic, n_docs, _, n_points = struct.unpack_from(HEAD, block)
+    if magic != MAGIC:
+        raise ValueError("not a block of token ids")
+    begin = struct.calcsize(HEAD)
+    counts = np.frombuffer(block, np.dtype([("id", "<i8"), ("has", "u1"), ("n", "<u4")]), n_docs, begin)["n"].astype(np.int64)
+    begin += 13 * n_docs
+    of = -(-counts // CHECKPOINT)
+    stop = int(counts[document]) if n is None else min(int(counts[document]), at + n)
+    if at >= stop:
+        return np.empty(0, np.uint16)
+    first, last = at // CHECKPOINT, (stop - 1) // CHECKPOINT
+    points = np.frombuffer(block, "<u4", last - first + 1, begin + 4 * (int(of[:document].sum()) + first)).astype(np.int64)
+    runs = np.minimum(counts[document] - CHECKPOINT * np.arange(first, last + 1), CHECKPOINT)
+    ids = decode(np.frombuffer(block, np.uint8, offset=begin + 4 * n_points), points, runs, table)
+    return ids[at - first * CHECKPOINT : stop - first * CHECKPOINT]
+
+
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """Documents read back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, on demand, ids."""
     table = decode_table(np.frombuffer(spark.read.parquet(f"{path}/book").first()[0], np.uint8))
