@@ -61,3 +61,12 @@ def test_query_equals_sql(spark, sf="/root/testdata/sf0.01"):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert got == sorted(con.execute(v.OP4_SQL).fetchall())
+
+
+def test_repeated_record_ids_and_hot_targets_have_one_result(spark):
+    """Responses that share a record_id give their greatest headers, in whatever order they come."""
+    old = [[("ETag", '"1"'), ("Vary", x)] for x in "abc"]
+    rows = [(1, "a/b", 1, 200, h, "") for h in old] + [(k, "a/b", k, 304, [("ETag", '"1"')], "") for k in range(2, 200)] + [(k, None, k, 304, [], "") for k in range(300, 400)]
+    for n in (1, 7):
+        got = v.resolve(spark.createDataFrame(rows[::-1] if n == 7 else rows, SCHEMA).repartition(n)).collect()
+        assert len(got) == 298 and {(r.verdict, r.headers[0].value if r.headers else None) for r in got} == {("resolved", "c"), ("no_response", None)}

@@ -60,3 +60,11 @@ def test_query_places_whole_rows(spark, sf="/root/testdata/sf0.01"):
     got = s.op7_sharding(spark, sf)
     assert got.columns == [*docs.columns, "slot", "shard"]
     assert Counter(map(tuple, got.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_columns_of_the_same_names_pass(spark):
+    df = spark.createDataFrame([(1, "x", 7, "c"), (None, None, None, None)], "slot long, shard string, doc_id long, c0 string")
+    out = s.place(df, ["doc_id"])
+    assert out.columns == ["slot", "shard", "doc_id", "c0", "slot", "shard"]
+    assert {tuple(r)[:4] for r in out.collect()} == {(1, "x", 7, "c"), (None, None, None, None)}
+    assert [r[-1] for r in s.place(df, ["slot"]).where("c0 = 'c'").collect()] == [r[-1] for r in s.place(df.withColumnRenamed("slot", "k"), ["k"]).where("c0 = 'c'").collect()]

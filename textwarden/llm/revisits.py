@@ -15,7 +15,8 @@ Verdicts of a revisit (status 304):
 A resolved revisit's headers are the response's, with those that a 304 may renew taken from the revisit.
 
 Cases: a null url or ts joins with nothing (no_response); null or empty headers are none; of several responses at
-one time the largest record_id counts, of repeated rows each revisit is returned; a response at the revisit's own time is
+one time the largest record_id counts, of responses that share a record_id the greatest headers, of repeated
+rows each revisit is returned; a response at the revisit's own time is
 not earlier; extra columns are not looked at; empty tables give an empty result.
 """
 
@@ -77,9 +78,13 @@ def resolve(records: DataFrame) -> DataFrame:
     usable = "key is not null and ts is not null"
     points = full.where(usable).groupBy("key", "ts").agg(F.max("record_id").alias("id")).unionByName(visits.where(usable).select("key", "ts", F.lit(None).cast("long").alias("id")))
     points = points.groupBy("key", "ts").agg(F.max("id").alias("id"))
-    to = visits.join(as_of(points), ["key", "ts"], "left")
-    responses = full.groupBy("record_id").agg(F.first("headers").alias("old")).withColumnRenamed("record_id", "target")
-    both = to.join(responses, "target", "left")
+    to = visits.join(as_of(points), ["key", "ts"], "left").withColumnRenamed("headers", "asked")
+    to = stored(to.select("record_id", "key", "ts", "asked", "target"), "targets")
+    # Responses are written once, too: the join's sides are then plain shuffles, and Spark splits the revisits of a hot target.
+    # Revisits without a target are not joined at all.
+    responses = stored(full.groupBy(F.col("record_id").alias("target")).agg(F.max("headers").alias("old")), "responses")
+    both = to.where("target is not null").join(responses, "target", "left").unionByName(to.where("target is null").withColumn("old", F.lit(None).cast(r.schema["headers"].dataType)))
+    both = both.withColumnRenamed("asked", "headers")
     old, new = F.coalesce("old", F.array().cast(r.schema["headers"].dataType)), F.coalesce("headers", F.array().cast(r.schema["headers"].dataType))
     tags, dates = _tag(old) == _tag(new), header(old, "last-modified") == header(new, "last-modified")
     same = F.coalesce(tags, dates)

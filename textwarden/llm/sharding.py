@@ -7,8 +7,8 @@ place is one lookup by its hash, whatever the number of shards; the table's size
 safe to broadcast. All on the DataFrame's own functions.
 
 Cases: null keys hash like any other value and share a shard; equal keys share a shard; repeated rows are
-placed each; every column of the input passes through, ``slot`` and ``shard`` are put behind (``prefix`` renames them
-where they would clash); an empty table gives an empty one; no shards, repeated names or a size that
+placed each; every column of the input passes through, whatever its name; ``slot`` and ``shard`` are put behind, and
+``prefix`` renames them where the input has columns of these names; an empty table gives an empty one; no shards, repeated names or a size that
 is not a prime over the number of shards are errors.
 """
 
@@ -57,12 +57,12 @@ def lookup_table(shards: Sequence[str] = SHARDS, size: int = SIZE) -> list[int]:
 def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str] = SHARDS, size: int = SIZE, prefix: str = "") -> DataFrame:
     """All columns of ``df``, then the slot (int) and the shard (string) of each row's key columns."""
     table = lookup_table(shards, size)
-    slots = df.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(table)], f"`{prefix}slot` int, `{prefix}shard` string")
+    slots = df.sparkSession.createDataFrame([(k, shards[s]) for k, s in enumerate(table)], "slot int, shard string")
     hashed = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(size)).cast("int")
     names = [f"c{i}" for i in range(len(df.columns))]
-    at = df.withColumn(f"{prefix}slot", hashed).toDF(*names, f"{prefix}slot")
-    placed = at.join(F.broadcast(slots), f"{prefix}slot", "left").select(*names, f"{prefix}slot", f"{prefix}shard")
-    return placed.toDF(*df.columns, f"{prefix}slot", f"{prefix}shard")
+    at = df.select(hashed.alias("own slot"), "*").toDF("own slot", *names)
+    placed = at.join(F.broadcast(slots.toDF("own slot", "own shard")), "own slot", "left")
+    return placed.select(*names, "own slot", "own shard").toDF(*df.columns, f"{prefix}slot", f"{prefix}shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
