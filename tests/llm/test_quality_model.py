@@ -37,10 +37,63 @@ def test_contexts_equal_brute_force():
                     n[u] += 1
                     for j in (i - 1, i + 1):
                         for v in units[j] if 0 <= j < len(units) else ():
-                            want[u, dims[v]] += signs[v]
+                            for dim, sign in zip(dims[v], signs[v]):
+                                want[u, dim] += sign
     assert np.allclose(got[: qm.UNITS * qm.DIMS], want.ravel()) and np.allclose(got[qm.UNITS * qm.DIMS : qm.UNITS * (qm.DIMS + 1)], n)
 
 
+def plain_scores(docs, labels):
+    """The whole query without batches or Spark: loops over words, dictionaries of units, one row at a time."""
+    dims, signs = qm._index(np.arange(qm.UNITS))
+    index = np.zeros((qm.UNITS, qm.DIMS))
+    for u in range(qm.UNITS):
+        for dim, sign in zip(dims[u], signs[u]):
+            index[u, dim] += sign
+    texts = []
+    for _, t in docs:
+        (_, data, offsets), = qm.groups(qm.pa.array([t], qm.pa.string()))
+        texts.append(list(zip(*(x.tolist() for x in qm._units(qm.segment(data, offsets, qm.SPACES, slice(0, 1)))), strict=True)))
+    context, n = {}, {}
+    for words in texts:
+        for i, units in enumerate(words):
+            around = sum((index[v] for j in (i - 1, i + 1) if 0 <= j < len(words) for v in words[j]), np.zeros(qm.DIMS))
+            for u in units:
+                context[u] = context.get(u, 0) + around
+                n[u] = n.get(u, 0) + 1
+    vectors = {}
+    for low, high in ((0, qm.FORMS), (qm.FORMS, qm.FORMS + qm.SHAPES), (qm.FORMS + qm.SHAPES, qm.UNITS)):
+        own = [u for u in n if low <= u < high]
+        total = sum(n[u] for u in own)
+        common = sum(context[u] for u in own) / total
+        for u in own:
+            c = context[u] - n[u] * common
+            norm = np.sqrt(c @ c)
+            vectors[u] = (c / norm if norm > 1e-9 else 0 * c) * (1e-3 / (1e-3 + n[u] / total) if low == 0 else 1)
+    x = np.zeros((len(docs), qm.FEATURES))
+    for row, words in zip(x, texts):
+        for k in range(3):
+            if words:
+                row[k * qm.DIMS : (k + 1) * qm.DIMS] = sum(vectors[w[k]] for w in words) / len(words)
+        row[-1] = np.log1p(len(words)) / 10
+    learnt = sorted((i, y, k) for k, (i, _) in enumerate(docs) for j, y in labels if i == j and zlib.crc32(str(i).encode()) % 5)
+    net = qm.fit(x[[k for _, _, k in learnt]], np.array([float(y) for _, y, _ in learnt]))
+    return [(i, zlib.crc32(str(i).encode()) % 5 == 0, s) for (i, _), s in zip(docs, net.scores(x).tolist())]
+
+
+def test_query_equals_a_plain_version(spark, tmp_path):
+    r = np.random.default_rng(3)
+    prose, junk = "the of and with for river house green walks over old stone bridge they say".split(), "BUY!! *** $$$ $9.99 %%% now!! ### CLICK x1x1 <b> &&&".split()
+    docs = [(k, " ".join(r.choice(junk if k % 3 == 0 else prose, int(r.integers(3, 60))))) for k in range(150)] + [(200, ""), (201, "one")]
+    labels = [(k, int(k % 3 > 0)) for k in range(0, 150, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in qm.op2_quality_model(spark, str(tmp_path)).collect()}
+    want = plain_scores(docs, labels)
+    assert len(got) == len(want)
+    for i, held_out, score in want:
+        assert got[i].held_out == held_out and abs(got[i].score - score) < 1e-3 and (got[i].predicted == int(score >= 0.3) or abs(score - 0.3) < 1e-3)
+
+
 DOCS = [(1, "a b c d"), (2, None), (3, ""), (None, "a b"), (3, "word " * 20_000), (4, "a b c d"), (4, "a b c d")]
 
 

@@ -2,7 +2,7 @@
 
 Units are word forms (lower-cased, hashed to FORMS buckets), word shapes (case, digits, symbols, length) and
 gaps (how many words back the same form stands in the text, by powers of two; 0 where it is new).
-Each unit has a fixed sparse index vector; its context vector is the sum of its neighbours' index vectors
+Each unit has a fixed sparse index vector (SIGNS entries of 1 or -1, dealt by a hash); its context vector is the sum of its neighbours' index vectors
 over all texts of the corpus, counted in one pass and added up without bringing partial tables to the
 driver. A document is the frequency-weighted mean of its words' normalised context vectors. A numpy
 network (one hidden layer) learns labels from at most ``sample`` labelled rows; part of these sets a
@@ -33,6 +33,7 @@ SHAPES = 1 << 10
 GAPS = 16
 UNITS = FORMS + SHAPES + GAPS
 DIMS = 32
+SIGNS = 4
 FEATURES = 3 * DIMS + 1
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -69,26 +70,28 @@ def _units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _index(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dimension, sign) of a unit's index vector, for all units."""
-    h = mix(units.astype(U) + U(0x5851F42D4C957F2D))
+    """(dimensions, signs) of the SIGNS entries of each unit's index vector; entries on one dimension add up."""
+    h = mix(units[:, None].astype(U) * U(SIGNS) + np.arange(SIGNS, dtype=U) + U(0x5851F42D4C957F2D))
     return (h % U(DIMS)).astype(np.int64), np.where(h >> U(63), 1.0, -1.0)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(UNITS * (DIMS + 1))
+    context, n = total[: UNITS * DIMS], total[UNITS * DIMS :]
     dims, signs = _index(np.arange(UNITS))
     for b in batches:
         for rows, data, offsets in groups(b.column(0)):
             w = segment(data, offsets, SPACES, rows)
             units, text_of = _units(w), w.text_of
-            pair = text_of[1:] == text_of[:-1]
-            left, right = np.flatnonzero(pair), np.flatnonzero(pair) + 1
+            left = np.flatnonzero(text_of[1:] == text_of[:-1])
+            for x, y in ((left, left + 1), (left + 1, left)):
+                theirs = np.concatenate([t[y] for t in units])
+                at, sign = dims[theirs].T, signs[theirs].T
+                for mine in units:
+                    own = np.tile(mine[x] * DIMS, len(units))
+                    context += np.bincount((own + at).ravel(), sign.ravel(), UNITS * DIMS)
             for mine in units:
-                total[UNITS * DIMS :] += np.bincount(mine, minlength=UNITS)
-                for theirs in units:
-                    for x, y in ((left, right), (right, left)):
-                        t = theirs[y]
-                        total[: UNITS * DIMS] += np.bincount(mine[x] * DIMS + dims[t], signs[t], UNITS * DIMS)
+                n += np.bincount(mine, minlength=UNITS)
     yield vector_rows(total)
 
 
@@ -183,7 +186,8 @@ def learn(rows: DataFrame, labels: DataFrame, train_on: Column, sample: int = SA
     known = rows.where(train_on).join(labels.where("label is not null and id is not null"), "id")
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / n)).limit(sample)
+        # The least by a hash, out of about as many as are wanted: the same rows however the table is partitioned.
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / n)).orderBy(F.xxhash64("id"), "id", "label", "features").limit(sample)
     got = known.select("id", "label", "features").toArrow()
     x = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
     y = got.column("label").to_numpy().astype(float)
