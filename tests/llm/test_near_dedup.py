@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -103,7 +104,10 @@ def test_give_up_bounds():
     spec = nd.NearDedup()
     steps = nd.least_matches(spec, spec.long)
     assert steps[-1][0] == spec.long and all(0 <= m <= n for n, m in steps)
-    assert nd._binomial_tail(spec.long, 0.8, steps[-1][1]) > 1 - 1e-4  # a pair at the threshold stays
+    assert nd._binomial(spec.long, 0.8)[steps[-1][1] :].sum() > 1 - 1e-4  # a pair at the threshold stays
+    tail = lambda n, least: sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least, n + 1))
+    for n, m in steps[:6]:
+        assert 1 - tail(n + 1, m + 1) >= spec.miss and (m == 0 or 1 - tail(n + 1, m) < spec.miss)
 
 
 def test_colliding_words_are_not_linked(spark):

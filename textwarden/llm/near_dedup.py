@@ -39,16 +39,20 @@ class NearDedup:
     rows: int = 4
     batch: int = 16  # signature values compared at a time
     miss: float = 1e-5  # posterior probability at which a pair is given up
-    long: int = 512  # signature values in the second pass
-    block: int = 1024  # members compared at once in the second pass
+    long: int = 1024  # signature values in the second pass
+    long_bands: int = 64  # bands of these, of twice as many rows, that group members of large groups again
+    block: int = 256  # members compared at once in the second pass
 
     @property
     def size(self) -> int:
         return self.bands * self.rows
 
 
-def _binomial_tail(n: int, p: float, least: int) -> float:
-    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1))
+def _binomial(n: int, p: float) -> np.ndarray:
+    """P(Binomial(n, p) = k) for k from 0 to n."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    k = np.arange(n + 1)
+    return np.exp(logs[n] - logs - logs[::-1] + k * math.log(p) + (n - k) * math.log(1 - p))
 
 
 def least_matches(spec: NearDedup, size: int) -> list[tuple[int, int]]:
@@ -57,10 +61,9 @@ def least_matches(spec: NearDedup, size: int) -> list[tuple[int, int]]:
     With a uniform prior the similarity after m of n matches has the posterior Beta(m + 1, n - m + 1), whose
     mass over t is P(Binomial(n + 1, t) <= m).
     """
-    t, out = spec.percent / 100, []
+    t, out = min(max(spec.percent / 100, 1e-9), 1 - 1e-9), []
     for n in range(spec.batch, size + 1, spec.batch):
-        m = next(m for m in range(n + 1) if 1 - _binomial_tail(n + 1, t, m + 1) >= spec.miss)
-        out.append((n, m))
+        out.append((n, int(np.argmax(np.cumsum(_binomial(n + 1, t)) >= spec.miss))))
     return out
 
 
@@ -177,6 +180,8 @@ def _fingerprint(s: np.ndarray) -> int:
 
 #: Bytes of both sides' texts that pairs are verified in at once; a longer pair is verified alone.
 PAIR_BYTES = 2 << 20
+#: Pairs that a task verifies, about.
+PAIRS = 2000
 
 
 def _word_ids(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -242,6 +247,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup,
                 yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
                 i = j
 
+    # Pairs are small and their comparison is not: they are spread before the texts join them.
+    n = min(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
+    pairs = pairs.repartition(max(1, n), "a", "b")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     found = _texts_of(docs, ids, scratch).mapInArrow(lean(marked), "id long, f1 long, text string")
     full = scratch.stored(found.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
@@ -250,12 +258,15 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup,
 
 
 def _rest(spec: NearDedup):
-    """Of two blocks of one group's members: pairs of different components that pass all signature batches."""
-    steps = least_matches(spec, spec.long)
+    """Of two blocks of one group's members: pairs of different components that pass all signature batches.
+
+    A pair that agrees on several bands is in the groups of all of these; it counts in the first one.
+    """
+    steps, rows, bands = least_matches(spec, spec.long), 2 * spec.rows, spec.long_bands
 
     def run(table: pa.Table) -> pa.Table:
         ids, comps, block = (table.column(c).combine_chunks().to_numpy() for c in ("id", "component", "block"))
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
         sig = _matrix(table.column("sig").combine_chunks(), spec.long)
         xs, ys = np.flatnonzero(block == p), np.flatnonzero(block == q)
         a, b = [], []
@@ -263,6 +274,9 @@ def _rest(spec: NearDedup):
             other = ys[(comps[ys] != comps[x]) & ((ids[ys] > ids[x]) if p == q else True)]
             if len(other):
                 found = other[_survives(np.broadcast_to(sig[x], (len(other), spec.long)), sig[other], steps)]
+                if band >= 0:
+                    agree = (sig[found, : bands * rows] == sig[x, : bands * rows]).reshape(-1, bands, rows).all(axis=2)
+                    found = found[agree.argmax(axis=1) == band]
                 a.append(np.minimum(ids[x], ids[found]))
                 b.append(np.maximum(ids[x], ids[found]))
         none = np.empty(0, np.int64)
@@ -271,20 +285,19 @@ def _rest(spec: NearDedup):
     return run
 
 
-def _bands(spec: NearDedup, rows: int, column: str):
-    """(id, key) of every band of ``rows`` values of each signature; a column of components is passed on."""
+def _bands(bands: int, rows: int, column: str):
+    """(id, key, band) of every band of ``rows`` values of each signature; a column of components is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             m = _matrix(b.column(1), len(b.column(1)[0].as_buffer()) // 2)
-            bands = m.shape[1] // rows
             m = m[:, : bands * rows].reshape(b.num_rows, bands, rows).astype(U)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F), (b.num_rows, bands))
             for k in range(rows):
                 key = mix(key * U(0x9E3779B97F4A7C15) + m[:, :, k] + U(1))
-            yield pa.record_batch([*(pa.array(np.repeat(c.to_numpy(), bands)) for c in (b.column(0), *b.columns[2:])), pa.array(key.ravel().view(np.int64))], ["id", *b.schema.names[2:], column])
+            yield pa.record_batch([*(pa.array(np.repeat(c.to_numpy(), bands)) for c in (b.column(0), *b.columns[2:])), pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), b.num_rows))], ["id", *b.schema.names[2:], column, "band"])
 
     return lean(run)
 
@@ -306,7 +319,7 @@ def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> Data
     classes = keep(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
     members = known.join(classes.where("copies > 1").select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     sigs = keep(classes.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sig")).alias("s")).select("id", "s.f1", "s.sig"), "signatures")
-    banded = keep(sigs.select("id", "sig").mapInArrow(_bands(spec, spec.rows, "bucket"), "id long, bucket long"), "bands")
+    banded = keep(sigs.select("id", "sig").mapInArrow(_bands(spec.bands, spec.rows, "bucket"), "id long, bucket long, band int").drop("band"), "bands")
     # The hub of a bucket is the member whose buckets hold the most members in all: of a group of near
     # copies, most likely the text that the others were made from.
     sizes = keep(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -328,12 +341,12 @@ def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> Data
     # Members of a large group are compared where they agree on a longer band of the long signatures; a pair at the
     # threshold misses all of these with a probability of about 1e-5. Of small groups all members are compared.
     large = members_of.where(F.col("size") > spec.block).select("id", "component").distinct()
-    closer = keep(long.join(large, "id").select("id", "sig", "component").mapInArrow(_bands(spec, 2 * spec.rows, "group"), "id long, component long, group long"), "closer")
+    closer = keep(long.join(large, "id").select("id", "sig", "component").mapInArrow(_bands(spec.long_bands, 2 * spec.rows, "group"), "id long, component long, group long, band int"), "closer")
     again = keep(_apart(closer), "again")
-    members_of = members_of.where(F.col("size") <= spec.block).unionByName(closer.join(again, "group"))
+    members_of = members_of.where(F.col("size") <= spec.block).withColumn("band", F.lit(-1)).unionByName(closer.join(again, "group"))
     members_of = members_of.withColumn("blocks", F.ceil(F.col("size") / spec.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rest = tasks.join(long, "id").groupBy("group", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
+    tasks = members_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", "band", "id", "component", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    rest = tasks.join(long, "id").groupBy("group", "band", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
     rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     second = verify(rest, docs, sigs, spec, scratch)
     final = components(first.unionByName(second).unionByName(members))
