@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .store import drop_stored, stored
@@ -16,22 +16,21 @@ def components(links: DataFrame) -> DataFrame:
     path. Each round is a written table; nothing but a count reaches the driver. A null end or a link
     of an id to itself links nothing.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = _state(edges)
+    edges, state = _observed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         # Large star: every larger neighbour of u is linked to u's smallest neighbour. The smallest ones are written
         # before the join, so that both its sides are plain shuffles, whose hot ids Spark splits over tasks.
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = stored(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: u and its smaller neighbours are linked to the smallest of them. Here u is the larger end, so the links of
         # a hot centre are keyed by its many neighbours.
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = stored(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "small")
-        before, state = state, _state(small)
-        for table in (least, large, edges):
-            drop_stored(table)
+        lower = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        before = state
+        small, state = _observed(lower.select(ends.alias("e")).select("e.*").where("a <> b").distinct(), "small")
+        drop_stored(least)
+        drop_stored(edges)
         edges = small
         if state == before:
             break
@@ -39,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number and two sums of hashes of distinct edges: equal where, and but for chance only where, the edges are."""
-    hashes = F.xxhash64("a", "b"), F.xxhash64("b", "a")
-    return tuple(edges.agg(F.count("*"), *(F.bit_xor(h) for h in hashes), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first())
+def _observed(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """The written table, and the number and sums of hashes of its edges: equal where, and but for chance only where, the edges are."""
+    seen = Observation()
+    one, two = F.xxhash64("a", "b"), F.xxhash64("b", "a")
+    sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.sum(one.cast("decimal(38,0)")).alias("y"), F.sum(two.cast("decimal(38,0)")).alias("z")]
+    return stored(edges.observe(seen, *sums), name), seen.get

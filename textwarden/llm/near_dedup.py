@@ -116,21 +116,21 @@ def _sketch(spec: NearDedup):
     return run
 
 
-def _sketches(docs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
-    """(id, sig): long signatures of docs (id, text), one for each id."""
+def _sketches(texts: DataFrame, spec: NearDedup) -> DataFrame:
+    """(id, sig): long signatures of texts (id, f1, text), one for each id, of the row whose set f1 names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in word_groups(b.column(1), SPACES):
+            f1 = b.column(1).to_numpy()
+            for w in word_groups(b.column(2), SPACES):
                 sets = shingle_sets(w, spec.shingle)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                if full:
-                    sig = signatures([sets[i] for i in full], spec.long)
-                    ids = b.column(0).slice(w.rows.start, len(sets)).take(pa.array(full))
-                    yield pa.record_batch([ids, pa.array([_fingerprint(sets[i]) for i in full], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "f1", "sig"])
+                meant = [i for i, s in enumerate(sets) if len(s) and _fingerprint(s) == f1[w.rows.start + i]]
+                if meant:
+                    sig = signatures([sets[i] for i in meant], spec.long)
+                    ids = b.column(0).slice(w.rows.start, len(sets)).take(pa.array(meant))
+                    yield pa.record_batch([ids, pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
 
-    made = docs.mapInArrow(lean(run), "id long, f1 long, sig binary")
-    return made.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
+    return texts.mapInArrow(lean(run), "id long, sig binary").dropDuplicates(["id"])
 
 
 def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -168,10 +168,13 @@ def prune(pairs: DataFrame, sigs: DataFrame, spec: NearDedup) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of docs with one of ``ids`` (distinct). Few ids go to the texts; if they are many, both are shuffled."""
-    ids = scratch.stored(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id", "left_semi")
+def _texts_of(docs: DataFrame, ids: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, f1 (of the set meant) and text of the rows of docs with one of ``ids`` (distinct).
+
+    Few ids go to the texts; if they are many, both are shuffled.
+    """
+    ids = scratch.stored(ids.join(sigs.select("id", "f1"), "id"), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "id").select("id", "f1", "text")
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -232,10 +235,11 @@ def similar(left: pa.Array, right: pa.Array, spec: NearDedup) -> np.ndarray:
 def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup, scratch: Scratch) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. docs: id, text; sigs: id, f1, which tells rows of one id apart."""
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [pa.array([_fingerprint(s) if len(s) else None for s in shingle_sets(w, spec.shingle)], pa.int64()) for w in word_groups(b.column(1), SPACES)]
-            yield pa.record_batch([b.column(0), pa.concat_arrays(prints) if prints else pa.array([], pa.int64()), b.column(1)], ["id", "f1", "text"])
+            prints = [_fingerprint(s) if len(s) else 0 for w in word_groups(b.column(2), SPACES) for s in shingle_sets(w, spec.shingle)]
+            keep = pa.array(np.flatnonzero(np.array(prints, np.int64) == b.column(1).to_numpy()))
+            yield pa.record_batch([b.column(0).take(keep), b.column(2).take(keep)], ["id", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,14 +253,18 @@ def verify(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, spec: NearDedup,
 
     # Pairs are small and their comparison is not: they are spread before the texts join them.
     n = min(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
-    pairs = pairs.repartition(max(1, n), "a", "b")
+    pairs = pairs.repartition(max(1, n))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    found = _texts_of(docs, ids, scratch).mapInArrow(lean(marked), "id long, f1 long, text string")
-    full = scratch.stored(found.join(sigs.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "texts")
+    found = _texts_of(docs, ids, sigs, scratch).mapInArrow(lean(meant), "id long, text string")
+    full = scratch.stored(found.dropDuplicates(["id"]), "texts")
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
+#: Pairs of one group that are compared at once.
+PAIRS_AT_ONCE = 1 << 16
+
+
 def _rest(spec: NearDedup):
     """Of two blocks of one group's members: pairs of different components that pass all signature batches.
 
@@ -269,18 +277,25 @@ def _rest(spec: NearDedup):
         p, q, band = (table.column(c)[0].as_py() for c in ("p", "q", "band"))
         sig = _matrix(table.column("sig").combine_chunks(), spec.long)
         xs, ys = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = [], []
-        for x in xs.tolist():
-            other = ys[(comps[ys] != comps[x]) & ((ids[ys] > ids[x]) if p == q else True)]
-            if len(other):
-                found = other[_survives(np.broadcast_to(sig[x], (len(other), spec.long)), sig[other], steps)]
-                if band >= 0:
-                    agree = (sig[found, : bands * rows] == sig[x, : bands * rows]).reshape(-1, bands, rows).all(axis=2)
-                    found = found[agree.argmax(axis=1) == band]
-                a.append(np.minimum(ids[x], ids[found]))
-                b.append(np.maximum(ids[x], ids[found]))
-        none = np.empty(0, np.int64)
-        return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        per = max(1, PAIRS_AT_ONCE // max(1, len(ys)))
+        for at in range(0, len(xs), per):
+            x, y = np.repeat(xs[at : at + per], len(ys)), np.tile(ys, len(xs[at : at + per]))
+            open_ = (comps[x] != comps[y]) & ((ids[x] < ids[y]) if p == q else True)
+            x, y = x[open_], y[open_]
+            matches, done = np.zeros(len(x), np.int32), 0
+            for n, least in steps:
+                if not len(x):
+                    break
+                matches = matches + (sig[x, done:n] == sig[y, done:n]).sum(axis=1, dtype=np.int32)
+                go = matches >= least
+                x, y, matches, done = x[go], y[go], matches[go], n
+            if band >= 0 and len(x):
+                first = (sig[x, : bands * rows] == sig[y, : bands * rows]).reshape(-1, bands, rows).all(axis=2).argmax(axis=1)
+                x, y = x[first == band], y[first == band]
+            a.append(np.minimum(ids[x], ids[y]))
+            b.append(np.maximum(ids[x], ids[y]))
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
@@ -316,8 +331,8 @@ def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> Data
     sketched = keep(docs.mapInArrow(lean(_sketch(spec)), "id long, n long, f1 long, f2 long, sig binary"), "sketch")
     known = sketched.where("id is not null and n > 0")
     # One row for each distinct set; a repeated id with different texts belongs to several of them.
-    classes = keep(known.groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"), F.first("sig").alias("sig")), "classes")
-    members = known.join(classes.where("copies > 1").select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    classes = keep(known.groupBy("n", "f1", "f2", "sig").agg(F.min("id").alias("id"), F.max("id").alias("last")), "classes")
+    members = known.join(classes.where("last > id").select("n", "f1", "f2", F.col("id").alias("rep")), ["n", "f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     sigs = keep(classes.groupBy("id").agg(F.min(F.struct("n", "f1", "f2", "sig")).alias("s")).select("id", "s.f1", "s.sig"), "signatures")
     banded = keep(sigs.select("id", "sig").mapInArrow(_bands(spec.bands, spec.rows, "bucket"), "id long, bucket long, band int").drop("band"), "bands")
     # The hub of a bucket is the member whose buckets hold the most members in all: of a group of near
@@ -331,13 +346,11 @@ def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> Data
     stars = keep(buckets.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "stars")
     first = keep(verify(keep(prune(stars, sigs, spec), "survivors"), docs, sigs, spec, scratch), "links")
     # Second pass: members of a hub's buckets that the stars left apart.
-    linked = components(first)
-    labels = keep(linked, "labels")
-    drop_stored(linked)
+    labels = components(first)
     groups = buckets.where("size > 2").select("hub", "id").distinct().join(labels, "id", "left").select(F.col("hub").alias("group"), "id", F.coalesce("component", "id").alias("component"))
     apart = keep(_apart(groups), "apart")
     members_of = keep(groups.join(apart, "group"), "members")
-    long = keep(_sketches(_texts_of(docs, members_of.select("id").distinct(), scratch), sigs, spec), "long")
+    long = keep(_sketches(_texts_of(docs, members_of.select("id").distinct(), sigs, scratch), spec), "long")
     # Members of a large group are compared where they agree on a longer band of the long signatures; a pair at the
     # threshold misses all of these with a probability of about 1e-5. Of small groups all members are compared.
     large = members_of.where(F.col("size") > spec.block).select("id", "component").distinct()
@@ -349,7 +362,9 @@ def _near_duplicates(docs: DataFrame, spec: NearDedup, scratch: Scratch) -> Data
     rest = tasks.join(long, "id").groupBy("group", "band", "p", "q").applyInArrow(_rest(spec), "a long, b long").distinct()
     rest = keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     second = verify(rest, docs, sigs, spec, scratch)
-    final = components(first.unionByName(second).unionByName(members))
+    # The first pass's components stand for its links: they are stars already.
+    final = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(members))
+    drop_stored(labels)
     out = sketched.select("id", "n").join(final, "id", "left")
     component = F.coalesce("component", "id")
     # What the result reads stays: one narrow row for each document.
