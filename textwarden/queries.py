@@ -420,11 +420,18 @@ ORACLE["hub_facets"] = f"SELECT infra, risk, count(*) AS n FROM (SELECT infra, u
 
 
 def cidr_match(spark: SparkSession, sf: str) -> DataFrame:
-    ip = F.concat_ws(".", F.element_at(F.array(*[F.lit(x) for x in ("10", "172", "192", "127", "8", "100")]), (F.col("doc_id") % 6 + 1).cast("int")), F.col("n_chars") % 256, F.col("doc_id") % 256, F.lit(1))
-    return docs(spark, sf).select("doc_id", ip.alias("ip")).select("doc_id", "ip", req.private_network(F.col("ip")).alias("network"), req.upstream_allowed(F.concat(F.lit("http://"), "ip", F.lit("/v1"))).alias("allowed"))
+    """An address of each document, IPv4 for six of eight and IPv6 for the rest, its network and whether a URL with it is allowed."""
+    kind, b, c = F.col("doc_id") % 8, F.col("n_chars") % 256, F.col("doc_id") % 256
+    four = F.concat_ws(".", F.element_at(F.array(*[F.lit(x) for x in ("10", "172", "192", "127", "169", "100", "", "")]), (kind + 1).cast("int")), b, c, F.lit(1))
+    local = F.when(b % 2 == 0, "::1").otherwise("0:0:0:0:0:0:0:0001")
+    wide = F.concat(F.when(b % 2 == 0, "FD").otherwise("20"), F.lpad(F.lower(F.hex(c)), 2, "0"), F.lit("::1:2"))
+    ip = F.when(kind < 6, four).when(kind == 6, local).otherwise(wide)
+    host = F.when(F.col("ip").contains(":"), F.concat(F.lit("["), "ip", F.lit("]"))).otherwise(F.col("ip"))
+    rows = docs(spark, sf).select("doc_id", ip.alias("ip"))
+    return rows.select("doc_id", "ip", req.private_network(F.col("ip")).alias("network"), req.upstream_allowed(F.concat(F.lit("http://"), host, F.lit(":80/v1"))).alias("allowed"))
 
 
 QUERIES["cidr_match"] = cidr_match
-ORACLE["cidr_match"] = """WITH i AS (SELECT doc_id, list_extract([10, 172, 192, 127, 8, 100], doc_id % 6 + 1) AS a, n_chars % 256 AS b, doc_id % 256 AS c FROM documents),
-n AS (SELECT *, CASE WHEN a = 10 THEN '10.0.0.0/8' WHEN a = 172 AND b BETWEEN 16 AND 31 THEN '172.16.0.0/12' WHEN a = 192 AND b = 168 THEN '192.168.0.0/16' WHEN a = 127 THEN '127.0.0.0/8' WHEN a = 100 AND b BETWEEN 64 AND 127 THEN '100.64.0.0/10' END AS network FROM i)
-SELECT doc_id, a || '.' || b || '.' || c || '.1' AS ip, network, network IS NULL AS allowed FROM n"""
+ORACLE["cidr_match"] = """WITH i AS (SELECT doc_id, doc_id % 8 AS k, list_extract([10, 172, 192, 127, 169, 100], doc_id % 8 + 1) AS a, n_chars % 256 AS b, doc_id % 256 AS c FROM documents),
+n AS (SELECT *, CASE WHEN a = 10 THEN '10.0.0.0/8' WHEN a = 172 AND b BETWEEN 16 AND 31 THEN '172.16.0.0/12' WHEN a = 192 AND b = 168 THEN '192.168.0.0/16' WHEN a = 127 THEN '127.0.0.0/8' WHEN a = 169 AND b = 254 THEN '169.254.0.0/16' WHEN k = 6 THEN '::1/128' WHEN k = 7 AND b % 2 = 0 THEN 'fc00::/7' END AS network FROM i)
+SELECT doc_id, CASE WHEN k < 6 THEN a || '.' || b || '.' || c || '.1' WHEN k = 6 THEN CASE WHEN b % 2 = 0 THEN '::1' ELSE '0:0:0:0:0:0:0:0001' END ELSE CASE WHEN b % 2 = 0 THEN 'FD' ELSE '20' END || printf('%02x', c) || '::1:2' END AS ip, network, network IS NULL AS allowed FROM n"""

@@ -12,7 +12,9 @@ ROLES = ("system", "user", "assistant", "tool", "function")
 KNOWN_FIELDS = ("model", "messages", "temperature", "max_tokens", "stream")
 TOOL_FIELDS = ("tools", "tool_choice", "functions", "function_call")
 # Private networks.
-PRIVATE_NETWORKS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8", "100.64.0.0/10")
+PRIVATE_NETWORKS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "::1/128", "fc00::/7")
+#: The IPv6 ones as patterns over an address's text, in lower case.
+_SIX = {"::1/128": r"^[0:]*:(0{0,3}1|0[.]0[.]0[.]1)$", "fc00::/7": "^f[cd][0-9a-f]{2}:"}
 
 
 def fits(body: Column) -> Column:
@@ -78,31 +80,38 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, sum((o.cast("long") * (256 ** (3 - k)) for k, o in enumerate(octets)), F.lit(0).cast("long")))
 
 
-def networks(spark: SparkSession) -> DataFrame:
-    rows = []
-    for n in PRIVATE_NETWORKS:
+def _four() -> list[tuple[str, int, int]]:
+    """(network, first, last address) of the IPv4 networks."""
+    out = []
+    for n in (n for n in PRIVATE_NETWORKS if n not in _SIX):
         base, bits = n.split("/")
         low = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split(".")))
-        rows.append((n, low, low + (1 << (32 - int(bits))) - 1))
-    return spark.createDataFrame(rows, "network string, low long, high long")
+        out.append((n, low, low + (1 << (32 - int(bits))) - 1))
+    return out
+
+
+def networks(spark: SparkSession) -> DataFrame:
+    """The IPv4 networks as ranges of address numbers."""
+    return spark.createDataFrame(_four(), "network string, low long, high long")
 
 
 def private_network(ip: Column) -> Column:
-    """The private network an address lies in, null if in none: the seven ranges as conditions, no join."""
-    n = ip_number(ip)
+    """The private network an address (IPv4 or IPv6, without brackets) lies in, null if in none: conditions, no join."""
+    n, text = ip_number(ip), F.lower(ip)
     out: Column = F.lit(None).cast("string")
-    for net in reversed(PRIVATE_NETWORKS):
-        base, bits = net.split("/")
-        low = sum(int(x) << (24 - 8 * k) for k, x in enumerate(base.split(".")))
-        out = F.when(n.between(low, low + (1 << (32 - int(bits))) - 1), net).otherwise(out)
+    for net, low, high in reversed(_four()):
+        out = F.when(n.between(low, high), net).otherwise(out)
+    for net, pattern in reversed(_SIX.items()):
+        out = F.when(text.contains(":") & text.rlike(pattern), net).otherwise(out)
     return out
 
 
 def upstream_allowed(url: Column) -> Column:
-    """Scheme http(s), a host, and no private address."""
+    """Scheme http(s), a host, and no private address; IPv6 addresses stand in brackets. Names are not looked up."""
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
-    return F.coalesce(scheme.isin("http", "https") & (host != "") & (F.lower(host) != "localhost") & private_network(host).isNull(), F.lit(False))
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)", 1)
+    bare = F.regexp_replace(F.regexp_replace(host, r"^\[|\]$", ""), "%.*$", "")
+    return F.coalesce(scheme.isin("http", "https") & (bare != "") & (F.lower(bare) != "localhost") & private_network(bare).isNull(), F.lit(False))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
