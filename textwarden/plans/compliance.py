@@ -47,23 +47,24 @@ def owasp_posture(findings: DataFrame) -> DataFrame:
     return a.select(score.alias("score"), grade(score).alias("grade"), "compliant_categories", "total_categories", "high_risk_categories")
 
 
-def _by_check(rows: DataFrame, mode: str) -> DataFrame:
-    """One row for each check name: its last verdict (mode last), or its worst and mean (mode worst)."""
-    if mode == "last":
-        last = F.max_by(F.struct("score", "passed"), "seq")
-        return rows.groupBy("check_name").agg(last.alias("s")).select("check_name", F.col("s.score").alias("top"), F.col("s.score").alias("total"), F.lit(1).cast("long").alias("n"), (~F.col("s.passed")).cast("long").alias("failed"))
-    return rows.groupBy("check_name").agg(F.max("score").alias("top"), F.sum("score").alias("total"), F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"))
-
-
 def _relevant(rows: DataFrame, dimension: list[tuple[str, list[str]]], mode: str) -> DataFrame:
-    """key, top, mean, n, failed, names of each dimension row; * takes all verdicts, named checks one a name."""
-    spark = rows.sparkSession
-    pairs = spark.createDataFrame([(k, c) for k, checks in dimension for c in checks], "key string, check_name string")
-    named = pairs.where("check_name <> '*'").join(F.broadcast(_by_check(rows, mode)), "check_name")
-    stars = pairs.where("check_name = '*'").select("key").join(F.broadcast(_by_check(rows, "worst")), F.lit(True))
-    columns = ["key", "check_name", "top", "total", "n", "failed"]
-    both = named.select(*columns).unionByName(stars.select(*columns))
-    return both.groupBy("key").agg(F.max("top").alias("top"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.array_sort(F.collect_set("check_name")).alias("names"))
+    """key, top, mean, n, failed, names of each dimension row, and whether any verdict at all is critical.
+
+    * takes all verdicts, named checks one verdict a name: the last (mode last), or all of them (mode worst). The verdicts
+    are aggregated once, to a row for each check; the dimension meets these few rows in one join.
+    """
+    last = F.max_by(F.struct("score", "passed"), "seq").alias("last")
+    per = rows.groupBy("check_name").agg(last, F.max("score").alias("top"), F.sum("score").alias("total"), F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"))
+    pairs = [(k, "all" if c == "*" else "named", c) for k, checks in dimension for c in checks] + [(k, "any", "*") for k, _ in dimension]
+    pairs = rows.sparkSession.createDataFrame(pairs, "key string, kind string, wanted string")
+    both = per.join(F.broadcast(pairs), (F.col("kind") != "named") | (F.col("wanted") == F.col("check_name")))
+    counts, one = F.col("kind") != "any", (F.col("kind") == "named") & F.lit(mode == "last")
+    of = lambda name, single: F.when(counts, F.when(one, single).otherwise(F.col(name)))
+    top, total = of("top", F.col("last.score")), of("total", F.col("last.score"))
+    n, failed = of("n", F.lit(1).cast("long")), of("failed", (~F.col("last.passed")).cast("long"))
+    names = F.array_sort(F.collect_set(F.when(counts, F.col("check_name"))))
+    critical = F.bool_or(F.when(~counts, F.col("top") >= 0.8)).alias("any_critical")
+    return both.groupBy("key").agg(F.max(top).alias("top"), (F.sum(total) / F.sum(n)).alias("mean"), F.sum(n).alias("n"), F.sum(failed).alias("failed"), names.alias("names"), critical)
 
 
 def eu_findings(rows: DataFrame, audit_log: bool = True, mode: str = "last") -> DataFrame:
@@ -91,8 +92,7 @@ def eu_posture(findings: DataFrame) -> DataFrame:
 def nist_findings(rows: DataFrame, audit_log: bool = True, monitoring: bool = True, mode: str = "last") -> DataFrame:
     spark = rows.sparkSession
     functions = spark.createDataFrame([(k, f, s) for k, (f, s, _) in enumerate(NIST_FUNCTIONS)], "ordinal int, key string, subcategories array<string>")
-    worst = rows.agg(F.coalesce(F.bool_or(F.col("score") >= 0.8), F.lit(False)).alias("any_critical"))
-    got = functions.join(_relevant(rows, [(f, c) for f, _, c in NIST_FUNCTIONS], mode), "key", "left").join(F.broadcast(worst), F.lit(True))
+    got = functions.join(_relevant(rows, [(f, c) for f, _, c in NIST_FUNCTIONS], mode), "key", "left").withColumn("any_critical", F.coalesce("any_critical", F.lit(False)))
     mean = F.coalesce("mean", F.lit(0.0))
     kept = F.when(mean < 0.3, 3).otherwise(2) if audit_log and monitoring else F.when(mean < 0.2, 2).otherwise(1)
     level = F.when(F.col("n").isNull() | F.col("any_critical"), 1).when(mean > 0.5, 2).otherwise(kept)
