@@ -218,3 +218,28 @@ def test_nearest_in_a_library_of_any_size(spark, monkeypatch):
         for g, w in zip(sorted(((x.i, x.similarity, x.nearest_id) for x in got), key=key), sorted(want, key=key), strict=True):
             assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-9
             assert g[2] == w[2] or g[0] is not None and w[0] == 5 and g[2] in (5, 200)  # a multiple ties but for rounding
+
+
+def test_model_checks_see_the_conversation(spark):
+    turns = "array<struct<role:string,content:string>>"
+    past = [("user", f"t{i}") for i in range(12)]
+    df = spark.createDataFrame([(past, "now", "ctx", "q"), (None, "now", None, "")], f"h {turns}, t string, c string, q string")
+    got = [[x.content for x in r.m] for r in df.select(m.IntentModel.messages(F.col("t"), F.col("h")).alias("m")).collect()]
+    assert got == [[f"t{i}" for i in range(2, 12)] + ["now"], ["now"]]
+    calm = m.IntentModel(lambda t: F.lit('{"violations":[],"risk_score":1.4,"reasoning":"fine"}')).check_input(F.col("t"))
+    r = df.select(calm.alias("r")).first().r
+    assert r.passed and r.score == 1.0 and "fine" in r.details
+    g = m.GraniteGuardian(judge=lambda said, risks: F.create_map(F.lit("x"), F.lit(1.0)), risks=("groundedness", "answer_relevance"), rag_context=F.col("c"), rag_query=F.col("q"))
+    both = df.select(*[x.alias(n) for n, x in zip("st", g.conversation(F.col("t"), True), strict=True)]).collect()
+    assert [[(x.role, x.content) for x in r.s] for r in both] == [[("context", "ctx"), ("user", "q"), ("assistant", "now")], [("user", "User request"), ("assistant", "now")]]
+    assert [r.t for r in both] == [["groundedness", "answer_relevance"], ["harm"]]
+    said, risks = g.conversation(F.col("t"), False)
+    one = df.select(said.alias("s"), risks.alias("t"), g.check_output(F.col("t")).alias("r")).first()
+    assert [tuple(x) for x in one.s] == [("user", "now")] and one.t == ["harm"] and not one.r.passed
+
+
+def test_redaction_by_values(spark):
+    kind = "array<struct<value:string,label:string>>"
+    rows = [("a b a", [("a", "x"), ("", "y"), (None, "z")]), ("a", None), (None, [("a", "x")])]
+    df = spark.createDataFrame(rows, f"t string, m {kind}")
+    assert [r.o for r in df.select(c.redact_values(F.col("t"), F.col("m")).alias("o")).collect()] == ["[REDACTED:X] b [REDACTED:X]", "a", ""]

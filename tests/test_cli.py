@@ -15,3 +15,6 @@ def test_verbs(spark, tmp_path, capsys):
     assert "llm_intent" in capsys.readouterr().out
     assert main(["catalog", "generate", "one_line"]) == 0
     assert "OneLine()" in capsys.readouterr().out
+    (tmp_path / "u.txt").write_text("hello")
+    assert main(["check", str(tmp_path), "--output", str(tmp_path / "found")]) == 1
+    assert spark.read.json(str(tmp_path / "found")).count() == 3

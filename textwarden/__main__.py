@@ -24,6 +24,20 @@ def _texts(spark, where: str):
     return spark.createDataFrame([(where,)], "text string")
 
 
+def _print(rows, file) -> bool:
+    """A JSON list of all rows, a partition at a time in memory; whether any row is blocked."""
+    out, blocked = file or sys.stdout, False
+    out.write("[")
+    for k, x in enumerate(rows.toJSON().toLocalIterator()):
+        found = json.loads(x)
+        blocked = blocked or bool(found["blocked_by"])
+        out.write((",\n" if k else "\n") + json.dumps(found, indent=2, ensure_ascii=False))
+    out.write("\n]\n")
+    if file:
+        file.close()
+    return blocked
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="textwarden")
     sub = p.add_subparsers(dest="verb", required=True)
@@ -31,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         a = sub.add_parser(verb, help=about)
         a.add_argument("text", help="a text, a file or a folder")
         a.add_argument("--direction", choices=("input", "output"), default="input")
-        a.add_argument("--output", help="write the results as JSON")
+        a.add_argument("--output", help="a .json file for the results, or a folder that the executors write JSON lines into")
     r = sub.add_parser("report", help="a report of an evidence table")
     r.add_argument("evidence")
     r.add_argument("output", help=".json or .html")
@@ -56,24 +70,24 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(rows.toJSON().collect()))
         return 0
     if o.verb == "report":
+        from pyspark.sql import functions as F
+
         from .plans import compliance, reports
         from .sources import evidence
 
         rows = evidence.load(spark, o.evidence)
-        report = reports.json_report(rows, compliance.verdicts(rows, "checks", "timestamp"))
+        report = reports.json_report(rows, compliance.verdicts(rows, "checks", F.struct("timestamp", "id")))
         reports.save_report(reports.html_report(report) if o.output.endswith(".html") else report, o.output)
         return 0
     from .plans.guards import ParallelGuard
 
     guard = ParallelGuard(block_on_fail=o.verb == "check")
     rows = (guard.check_input if o.direction == "input" else guard.check_output)(_texts(spark, o.text)).select("guard.*")
-    found = [json.loads(x) for x in rows.toJSON().collect()]
-    text = json.dumps(found, indent=2, ensure_ascii=False)
-    if o.output:
-        Path(o.output).write_text(text, encoding="utf-8")
-    else:
-        print(text)
-    return int(o.verb == "check" and any(f["blocked_by"] for f in found))
+    if o.output and not o.output.endswith(".json"):
+        rows.write.mode("overwrite").json(o.output)
+        return int(o.verb == "check" and not spark.read.schema("blocked_by array<string>").json(o.output).where("size(blocked_by) > 0").isEmpty())
+    blocked = _print(rows, Path(o.output).open("w", encoding="utf-8") if o.output else None)
+    return int(o.verb == "check" and blocked)
 
 
 if __name__ == "__main__":

@@ -94,6 +94,12 @@ class PersonalData(Check):
         return redact_rules(text)
 
 
+def redact_values(text: Column, matches: Column) -> Column:
+    """Each value of array<struct<value, label>>, in order, replaced by its mark wherever it stands; null and empty values are skipped."""
+    known = F.filter(F.coalesce(matches, F.array().cast("array<struct<value:string,label:string>>")), lambda m: m["value"] != "")
+    return F.aggregate(known, text_or_empty(text), lambda t, m: F.replace(t, m["value"], F.concat(F.lit("[REDACTED:"), F.upper(m["label"]), F.lit("]"))))
+
+
 @F.pandas_udf(StringType())
 def redact_rules(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Spans of all rules at once: overlapping ones give way to the first and longest, which no chain of replacements can do."""

@@ -51,13 +51,60 @@ class InjectionModel(_Scored):
         return F.when(score >= 0.8, "critical").otherwise("high")
 
 
+#: Risks that need retrieved context or a query.
+RAG_RISKS = ("groundedness", "answer_relevance", "context_relevance")
+TURNS = "array<struct<role:string,content:string>>"
+
+
+def _turn(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def _given(text: Column | None) -> Column:
+    """An optional column: blank is as good as none."""
+    return F.nullif(text, F.lit("")) if text is not None else F.lit(None).cast("string")
+
+
 class GraniteGuardian(_Scored):
-    """The scorer gives map<risk, probability>; the largest counts."""
+    """The scorer gives map<risk, probability>; the largest counts.
+
+    ``scorer`` sees the text alone. ``judge`` sees the conversation and the risks to look for: on input the user's turn and all risks but
+    those of retrieval; on output the user's turn (``prompt``, else ``rag_query``) and the reply, behind the retrieved ``rag_context``
+    if groundedness is asked for and there is one. A risk whose column is null in a row is not asked of that row.
+    """
 
     name, owasp, advice = "granite_guardian", ("LLM01", "LLM02", "LLM06", "LLM08"), "Block or review this text."
 
-    def __init__(self, scorer: Scorer | None = None, threshold: float = 0.5) -> None:
+    def __init__(self, scorer: Scorer | None = None, threshold: float = 0.5, judge: Callable[[Column, Column], Column] | None = None, risks: Sequence[str] = ("harm",), prompt: Column | None = None, rag_context: Column | None = None, rag_query: Column | None = None) -> None:
         super().__init__((lambda t: F.array_max(F.map_values(scorer(t)))) if scorer else None, threshold)
+        self.judge, self.risks, self.prompt, self.context, self.query = judge, tuple(risks), prompt, rag_context, rag_query
+
+    def conversation(self, text: Column, output: bool) -> tuple[Column, Column]:
+        """The turns and the risks that the judge sees."""
+        if not output:
+            asked = [r for r in self.risks if r not in RAG_RISKS] or ["harm"]
+            return F.array(_turn("user", text)), F.array(*map(F.lit, asked))
+        context, query = _given(self.context), _given(self.query)
+        said = F.array(_turn("user", F.coalesce(_given(self.prompt), query, F.lit("User request"))), _turn("assistant", text))
+        if "groundedness" in self.risks:
+            said = F.when(context.isNotNull(), F.concat(F.array(_turn("context", context)), said)).otherwise(said)
+        needs = {"groundedness": context, "answer_relevance": query}
+        asked = F.filter(F.array(*[F.when(needs[r].isNotNull(), r) if r in needs else F.lit(r) for r in self.risks]).cast("array<string>"), lambda r: r.isNotNull())
+        return said.cast(TURNS), F.when(F.size(asked) > 0, asked).otherwise(F.array(F.lit("harm")))
+
+    def _judged(self, text: Column, output: bool) -> Column:
+        text = text_or_empty(text)
+        if self.judge is None:
+            return self.evaluate(text)
+        other = GraniteGuardian(threshold=self.threshold)
+        other.scorer = lambda t: F.array_max(F.map_values(self.judge(*self.conversation(t, output))))
+        return other.evaluate(text)
+
+    def check_input(self, text: Column) -> Column:
+        return self._judged(text, False)
+
+    def check_output(self, text: Column) -> Column:
+        return self._judged(text, True)
 
 
 def intent_window(history: Column, text: Column, limit: int = 1200) -> Column:
@@ -94,12 +141,25 @@ INTENT_REPLY = "struct<violations:array<string>,risk_score:double,reasoning:stri
 
 
 class IntentModel(Check):
-    """The scorer gives a chat model's JSON reply; what can't be read passes."""
+    """The scorer gives a chat model's JSON reply; what can't be read passes. A text without violations passes with the reply's score.
+
+    ``chat`` sees the last ``turns`` turns of the column ``history`` (array<struct<role, content>>) and the text as the user's turn; ``scorer`` the text alone.
+    """
 
     name, owasp, advice = "llm_intent", ("LLM01", "LLM02", "LLM06"), "Review what this conversation is after."
 
-    def __init__(self, scorer: Scorer | None = None, severities: dict[str, str] | None = None) -> None:
+    def __init__(self, scorer: Scorer | None = None, severities: dict[str, str] | None = None, chat: Scorer | None = None, history: Column | None = None, turns: int = 10) -> None:
         self.scorer, self.severities = scorer, severities or {}
+        if chat is not None:
+            self.scorer = lambda text: chat(self.messages(text, history, turns))
+
+    @staticmethod
+    def messages(text: Column, history: Column | None = None, turns: int = 10) -> Column:
+        now = F.array(_turn("user", text)).cast(TURNS)
+        if history is None:
+            return now
+        past = F.coalesce(history.cast(TURNS), F.array().cast(TURNS))
+        return F.concat(F.slice(past, F.greatest(F.lit(1), F.size(past) - turns + 1), turns), now)
 
     def evaluate(self, text: Column) -> Column:
         if self.scorer is None:
@@ -107,10 +167,12 @@ class IntentModel(Check):
 
         def fold(r: Column) -> Column:
             found = F.coalesce(r["violations"], F.array().cast("array<string>"))
-            score = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.coalesce(r["risk_score"], F.lit(0.0))))
+            risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r["risk_score"], F.lit(0.0))))
+            score = F.greatest(F.lit(0.5), risk)
             known = [F.when(F.exists(found, lambda v: v.isin([k for k, x in self.severities.items() if x == s] or [""])), s) for s in ("critical", "high", "medium", "low")]
             failed = self.verdict(False, score, F.coalesce(*known, F.lit("high")), json_of(violations=found, reasoning=r["reasoning"]), found)
-            return F.when(r.isNull() | (F.size(found) == 0), self.passing()).otherwise(failed)
+            calm = self.verdict(True, risk, details=json_of(reasoning=F.coalesce(r["reasoning"], F.lit(""))))
+            return F.when(r.isNull(), self.passing()).when(F.size(found) == 0, calm).otherwise(failed)
 
         return F.when(is_blank(text), self.passing()).otherwise(let(F.from_json(self.scorer(text), INTENT_REPLY), fold))
 

@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import EU_ARTICLES, LIVE_EU, LIVE_OWASP, MATURITY, NIST_FUNCTIONS, OWASP
-from ..functions.text import rounded
+from ..functions.text import let, rounded
 
 AUDIT_LOG = "Audit log with timestamps"
 
 
-def verdicts(df: DataFrame, results: str, order: str) -> DataFrame:
-    """One row for each result of an array column: seq by the rows' ``order`` and the place in the array."""
+def verdicts(df: DataFrame, results: str, order: str | Column) -> DataFrame:
+    """One row for each result of an array column: seq by the rows' ``order`` (a struct, where one column alone has ties) and the place in the array."""
+    by = F.col(order) if isinstance(order, str) else order
     # The outer form: the inner one would put a filter on the array's size before it, and work every check out twice.
-    rows = df.select(F.col(order).alias("o"), F.posexplode_outer(results).alias("k", "r"))
+    rows = df.select(by.alias("o"), F.posexplode_outer(results).alias("k", "r"))
     return rows.where("r is not null").select(F.struct("o", "k").alias("seq"), "r.check_name", "r.passed", "r.score", "r.severity", "r.owasp_refs", "r.matched_patterns")
 
 
@@ -109,6 +110,44 @@ def nist_findings(rows: DataFrame, audit_log: bool = True, monitoring: bool = Tr
     return got.select("ordinal", F.col("key").alias("function"), level.alias("maturity_level"), label.alias("maturity_label"), sub.alias("subcategory_scores"), advice.alias("recommendations")).orderBy("ordinal")
 
 
+def row_owasp(results: Column) -> Column:
+    """One row's OWASP findings: array<struct<category_id, category_name, risk_score, compliant>>, highest risk first, then by first mention."""
+    return let(results, _row_owasp)
+
+
+def _row_owasp(results: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for i, n, _ in OWASP for x in (i, n)])
+    weights = F.create_map(*[F.lit(x) for i, _, w in OWASP for x in (i, w)])
+
+    def of(category: Column, place: Column) -> Column:
+        mine = F.filter(results, lambda r: F.array_contains(r["owasp_refs"], category))
+        risk = rounded(F.array_max(F.transform(mine, lambda r: r["score"])) * F.coalesce(weights[category], F.lit(1.0)), 3)
+        return F.struct((-risk).alias("minus"), place.alias("place"), category.alias("category_id"), F.forall(mine, lambda r: r["passed"]).alias("compliant"))
+
+    ranked = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform(results, lambda r: r["owasp_refs"]))), of))
+    return F.transform(ranked, lambda x: F.struct(x["category_id"].alias("category_id"), F.coalesce(names[x["category_id"]], x["category_id"]).alias("category_name"), F.abs(x["minus"]).alias("risk_score"), x["compliant"].alias("compliant")))
+
+
+def row_eu(results: Column) -> Column:
+    """One row's findings for all seven articles: array<struct<article, title, compliant, compliance_score, risk_level>>; named checks by their last verdict."""
+    return let(results, _row_eu)
+
+
+def _row_eu(results: Column) -> Column:
+    def of(article: str, title: str, checks: list[str]) -> Column:
+        if "*" in checks:
+            mine = results
+        else:
+            named = lambda c: F.filter(results, lambda r: r["check_name"] == c)
+            mine = F.filter(F.array(*[F.try_element_at(named(c), F.lit(-1)) for c in checks]), lambda r: r.isNotNull())
+        top = F.array_max(F.transform(mine, lambda r: r["score"]))
+        score = F.when(F.size(mine) == 0, 50.0).otherwise(rounded((F.lit(1.0) - top) * 100, 1))
+        level = F.when(score < 40, "critical").when(score < 60, "high").when(score < 80, "medium").otherwise("low")
+        return F.struct(F.lit(article).alias("article"), F.lit(title).alias("title"), ((F.size(mine) > 0) & F.forall(mine, lambda r: r["passed"])).alias("compliant"), score.alias("compliance_score"), level.alias("risk_level"))
+
+    return F.array(*[of(a, t, checks) for a, t, _, checks in EU_ARTICLES])
+
+
 def blocked_rollup(guarded: DataFrame, guard: str = "guard") -> DataFrame:
     """Hits of each check over guarded texts, by the names that checks emit: check_name, hits, share of all texts, level."""
     total = guarded.agg(F.count("*").alias("total"))

@@ -102,6 +102,12 @@ class ParallelGuard:
         return both.withColumn("allowed", F.col("guard_in.allowed") & F.coalesce(F.col("guard_out.allowed"), F.lit(False)))
 
 
+    def both(self, df: DataFrame, prompt: str = "prompt", response: str = "response", out: str = "guard") -> DataFrame:
+        """Two rows for each one: its prompt checked as input and its response as output, told apart by ``direction``."""
+        sides = self.check_input(df, prompt, out).withColumn("direction", F.lit("input")), self.check_output(df, response, out).withColumn("direction", F.lit("output"))
+        return sides[0].unionByName(sides[1])
+
+
 class OnFail(str, Enum):
     EXCEPTION = "exception"
     BLOCK = "block"

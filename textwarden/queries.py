@@ -14,10 +14,13 @@ from .operators import core as c
 from .operators import formats as f
 from .operators import models as m
 from .operators.base import RANK, Check
+from .operators.custom import ColumnCheck
 from .plans import catalog
 from .plans import compliance as comp
+from .plans.cases import CASES, cases
 from .plans.corpus import SEEDED_SQL, quoted, seeded, spread
-from .plans.guards import ChainGuard, OnFail, ParallelGuard
+from .plans.guards import ChainGuard, OnFail, ParallelGuard, remediations
+from .plans.scan import scan_text
 from .sources import evidence as ev
 from .sources import requests as req
 from .streaming import sessions as ses
@@ -281,10 +284,10 @@ CASE WHEN len(text) > 2000 THEN 'valid_length' WHEN text <> {up} THEN 'uppercase
 # ---- evidence and compliance ----
 
 
-def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+def evidence_rows(spark: SparkSession, sf: str, **findings: Column) -> DataFrame:
     """Evidence with stable ids and times, so that results can be compared."""
     rows = guarded(spark, sf).select("doc_id", F.col("guard.check_results").alias("check_results"), F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("session"))
-    made = ev.records(rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)), session="session", ts=F.col("ts"))
+    made = ev.records(rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60)), session="session", ts=F.col("ts"), **findings)
     return made.withColumn("id", F.lpad(((F.unix_seconds("timestamp") - 1_700_000_000) / 60).cast("long").cast("string"), 12, "0"))
 
 
@@ -406,8 +409,9 @@ ORACLE["sem_top1"] = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM em
 
 
 def toxic_label_eval(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select("doc_id", c.Toxicity().check_input(F.col("text"))["passed"].alias("passed"))
-    return d.join(table("labels")(spark, sf), "doc_id").groupBy("toxic", "passed").agg(F.count("*").alias("n"))
+    # Texts are searched after the join, so those without a label never are.
+    d = table("documents")(spark, sf).select("doc_id", "text").join(table("labels")(spark, sf).select("doc_id", "toxic"), "doc_id")
+    return spread(d).select("toxic", c.Toxicity().check_input(F.col("text"))["passed"].alias("passed")).groupBy("toxic", "passed").agg(F.count("*").alias("n"))
 
 
 QUERIES["toxic_label_eval"] = toxic_label_eval
@@ -435,3 +439,109 @@ QUERIES["cidr_match"] = cidr_match
 ORACLE["cidr_match"] = """WITH i AS (SELECT doc_id, doc_id % 8 AS k, list_extract([10, 172, 192, 127, 169, 100], doc_id % 8 + 1) AS a, n_chars % 256 AS b, doc_id % 256 AS c FROM documents),
 n AS (SELECT *, CASE WHEN a = 10 THEN '10.0.0.0/8' WHEN a = 172 AND b BETWEEN 16 AND 31 THEN '172.16.0.0/12' WHEN a = 192 AND b = 168 THEN '192.168.0.0/16' WHEN a = 127 THEN '127.0.0.0/8' WHEN a = 169 AND b = 254 THEN '169.254.0.0/16' WHEN k = 6 THEN '::1/128' WHEN k = 7 AND b % 2 = 0 THEN 'fc00::/7' END AS network FROM i)
 SELECT doc_id, CASE WHEN k < 6 THEN a || '.' || b || '.' || c || '.1' WHEN k = 6 THEN CASE WHEN b % 2 = 0 THEN '::1' ELSE '0:0:0:0:0:0:0:0001' END ELSE CASE WHEN b % 2 = 0 THEN 'FD' ELSE '20' END || printf('%02x', c) || '::1:2' END AS ip, network, network IS NULL AS allowed FROM n"""
+
+
+# ---- guards by other names, both directions, each row's own findings ----
+QUERIES["guard_selected"] = lambda spark, sf: ParallelGuard(["toxicity", "nothing", "injection"]).check_input(seeded(spark, sf)).select("doc_id", F.array_join(F.transform("guard.check_results", lambda r: r["check_name"]), "|").alias("ran"), F.array_join("guard.blocked_by", "|").alias("blocked_by"), "guard.risk_score")
+ORACLE["guard_selected"] = f"WITH {FOUR} SELECT doc_id, string_agg(check_name, '|' ORDER BY k) AS ran, coalesce(string_agg(check_name, '|' ORDER BY k) FILTER (NOT passed), '') AS blocked_by, max(score) AS risk_score FROM w WHERE k IN (1, 3) GROUP BY doc_id"
+QUERIES["guard_remediations"] = lambda spark, sf: guarded(spark, sf).select("doc_id", F.array_join(remediations(F.col("guard.check_results")), "|").alias("remediations"))
+ADVICE = "CASE k " + " ".join(f"WHEN {n} THEN {quoted(x.advice)}" for n, x in enumerate((c.PromptInjection, c.PersonalData, c.Toxicity, c.InsecureOutput), 1)) + " END"
+ORACLE["guard_remediations"] = f"WITH {FOUR} SELECT doc_id, coalesce(string_agg({ADVICE}, '|' ORDER BY k) FILTER (NOT passed), '') AS remediations FROM w GROUP BY doc_id"
+QUERIES["guard_filter"] = chain_row(ChainGuard().use(k.BanList(BANNED), OnFail.FILTER).use(k.SensitiveTopic(), OnFail.FILTER))
+filtered = "fixed"
+for topic, ps in R.TOPICS.items():
+    filtered = f"CASE WHEN {hit('|'.join(f'(?:{p})' for p in ps), 'i', 'fixed')} THEN replace({filtered}, {quoted(topic)}, '[FILTERED]') ELSE {filtered} END"
+topics = " + ".join(f"{hit('|'.join(f'(?:{p})' for p in ps), 'i', 'fixed')}::INT" for ps in R.TOPICS.values())
+ORACLE["guard_filter"] = f"""WITH {SEEDED_SQL}, v AS (SELECT doc_id, {ban_any} AS b, {ban_fix} AS fixed FROM seeded), t AS (SELECT *, {topics} AS n, {filtered} AS out FROM v)
+SELECT doc_id, true AS passed, out AS fixed_value, array_to_string(list_filter([CASE WHEN b THEN 'ban_list' END, CASE WHEN n > 0 THEN 'sensitive_topic' END], lambda x: x IS NOT NULL), '|') AS violations, false AS needs_reask, false AS raised, CASE WHEN b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, n * 0.35::DOUBLE) END AS risk_score FROM t"""
+NAMED, SKIPPED = ChainGuard.from_ids(["uppercase", "regex_match", "one_line", "nothing"], "reask")
+QUERIES["guard_from_ids"] = lambda spark, sf: chain_row(NAMED, docs)(spark, sf).select("doc_id", "passed", "needs_reask", "violations", F.lit("|".join(SKIPPED)).alias("skipped"))
+many = f"len({LINES}) > 1"
+ORACLE["guard_from_ids"] = f"SELECT doc_id, text = {up} AND NOT {many} AS passed, text <> {up} OR {many} AS needs_reask, array_to_string(list_filter([CASE WHEN text <> {up} THEN 'uppercase' END, CASE WHEN {many} THEN 'one_line' END], lambda x: x IS NOT NULL), '|') AS violations, 'regex_match|nothing' AS skipped FROM documents"
+BY_LENGTH = ParallelGuard([m.ToxicModel(lambda t: F.length(t) % 100 / F.lit(100.0))])
+REPLIED = lambda spark, sf: docs(spark, sf).select("doc_id", F.col("text").alias("prompt"), F.concat("text", "lang").alias("response"))
+QUERIES["guard_protect"] = lambda spark, sf: BY_LENGTH.protect(REPLIED(spark, sf)).select("doc_id", F.col("guard_in.allowed").alias("allowed_in"), F.col("guard_out.allowed").alias("allowed_out"), "allowed")
+SIDES = f"s AS (SELECT doc_id, {py_round('least(len(text), 2048) % 100 / 100.0::DOUBLE', 4)} AS a, {py_round('least(len(text || lang), 2048) % 100 / 100.0::DOUBLE', 4)} AS b FROM documents)"
+ORACLE["guard_protect"] = f"WITH {SIDES} SELECT doc_id, a < 0.5 AS allowed_in, CASE WHEN a < 0.5 THEN b < 0.5 END AS allowed_out, a < 0.5 AND b < 0.5 AS allowed FROM s"
+QUERIES["guard_both"] = lambda spark, sf: BY_LENGTH.both(REPLIED(spark, sf)).select("doc_id", "direction", "guard.allowed", "guard.risk_score")
+ORACLE["guard_both"] = f"WITH {SIDES} SELECT doc_id, 'input' AS direction, a < 0.5 AS allowed, a AS risk_score FROM s UNION ALL SELECT doc_id, 'output', b < 0.5, b FROM s"
+QUERIES["scan_text"] = lambda spark, sf: scan_text(seeded(spark, sf))
+SCANS = [("prompt_injection", INJ), ("pii_detection", PII_SQL), ("toxicity", TOX), ("insecure_output", UNSAFE)]
+ORACLE["scan_text"] = f"WITH {SEEDED_SQL}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS check_name, unnest(list_transform({hits}, lambda x: {{'l': x.l, 'r': x.r}})) AS h FROM seeded" for n, hits in SCANS) + f") SELECT doc_id, check_name, h.l AS rule, list_extract({NAMES}, h.r + 1) AS severity FROM h"
+QUERIES["verdict_corpus"] = lambda spark, sf: GUARD.check_input(cases(spark)).select("case_id", "category", "expected", "guard.allowed", F.array_join("guard.blocked_by", "|").alias("blocked_by"))
+CASES_SQL = "cases(doc_id, category, text, expected) AS (VALUES " + ", ".join("(" + ", ".join(quoted(x).replace("\x00", "' || chr(0) || '") for x in row) + ")" for row in CASES) + "), seeded AS (SELECT doc_id, text FROM cases)"
+ORACLE["verdict_corpus"] = f"WITH {FOUR.replace(SEEDED_SQL, CASES_SQL)}, g AS (SELECT doc_id, bool_and(passed) AND max(score) < 0.7 AS allowed, string_agg(check_name, '|' ORDER BY k) FILTER (NOT passed) AS b FROM w GROUP BY 1) SELECT doc_id AS case_id, category, expected, allowed, coalesce(b, '') AS blocked_by FROM g JOIN cases USING (doc_id)"
+
+
+def evidence_findings(name: str, column: str, fields: Sequence[str], of: Callable[[Column], Column]) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = evidence_rows(spark, sf, **{name: of(F.col("check_results"))}).select("id", F.explode_outer(column).alias("f")).where("f is not null")
+        return rows.select("id", *[f"f.{x}" for x in fields])
+
+    QUERIES[f"evidence_{name}"] = run
+
+
+evidence_findings("owasp", "owasp_findings", ("category_id", "category_name", "risk_score", "compliant"), comp.row_owasp)
+ORACLE["evidence_owasp"] = f"WITH {FOUR}, x AS (SELECT doc_id, category_id, max(score) AS top, bool_and(passed) AS compliant FROM w JOIN {REFS} ON name = check_name GROUP BY 1, 2) SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, category_id, category_name, {py_round('top * weight', 3)} AS risk_score, compliant FROM x JOIN {DIM} USING (category_id)"
+evidence_findings("eu", "eu_findings", ("article", "compliant", "compliance_score", "risk_level"), comp.row_eu)
+ORACLE["evidence_eu"] = f"""WITH {FOUR}, x AS (SELECT d.doc_id, key, max(score) AS top, count(check_name) AS n, bool_and(passed) AS ok FROM (SELECT doc_id FROM seeded) d CROSS JOIN {mapped(EU_DIM)} LEFT JOIN w ON w.doc_id = d.doc_id AND (name = check_name OR name = '*') GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN n = 0 THEN 50.0::DOUBLE ELSE {py_round('(1.0::DOUBLE - top) * 100', 1)} END AS compliance_score FROM x)
+SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, key AS article, n > 0 AND ok AS compliant, compliance_score, CASE WHEN compliance_score < 40 THEN 'critical' WHEN compliance_score < 60 THEN 'high' WHEN compliance_score < 80 THEN 'medium' ELSE 'low' END AS risk_level FROM y"""
+
+
+# ---- requests and model checks on rows ----
+def request_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests made of the documents: methods, content types and announced lengths by their ids."""
+    d = F.col("doc_id")
+    body = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat(F.lit("s"), (d % 50).cast("string")).alias("session_id")))
+    rows = docs(spark, sf).select("doc_id", body.alias("body"), F.when(d % 3 == 0, "POST").when(d % 3 == 1, "PUT").otherwise("GET").alias("method"), F.when(d % 4 == 1, "text/plain").otherwise("application/json; charset=utf-8").alias("kind"), F.when(d % 7 == 0, "2000000").alias("announced"))
+    return req.inspected(rows, method="method", content_type="kind", length="announced").select("doc_id", "status", F.md5("prompt").alias("prompt_md5"), "session_id")
+
+
+QUERIES["request_status"] = request_status
+ORACLE["request_status"] = "WITH r AS (SELECT doc_id, nullif(text, '') AS text, doc_id % 3 <> 2 AND doc_id % 4 <> 1 AS read, doc_id % 7 = 0 AS large FROM documents) SELECT doc_id, CASE WHEN read AND large THEN 413 END AS status, CASE WHEN read AND NOT large THEN md5(text) END AS prompt_md5, CASE WHEN read AND NOT large AND text IS NOT NULL THEN 's' || doc_id % 50 END AS session_id FROM r"
+QUERIES["conv_completion_prompt"] = lambda spark, sf: turns(spark, sf).select("conv_id", "turn", req.completion_prompt(F.to_json(F.struct(F.col("text").alias("prompt")))).alias("prompt"))
+ORACLE["conv_completion_prompt"] = "SELECT conv_id, turn, text AS prompt FROM conversations"
+said = lambda turns_: F.array_join(F.transform(turns_, lambda t: F.concat(t["role"], t["content"])), "")
+LENGTHS = lambda text, risks: F.map_from_entries(F.transform(risks, lambda r: F.struct(r, (F.length(said(text)) + F.length(r)) % 100 / F.lit(100.0))))
+
+
+def granite_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies judged with the retrieved context and query of some of the rows."""
+    context, asked = F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.when(F.col("doc_id") % 3 == 0, F.col("source"))
+    check = m.GraniteGuardian(judge=LENGTHS, risks=("harm", "groundedness", "answer_relevance"), rag_context=context, rag_query=asked)
+    return docs(spark, sf).select("doc_id", check.check_output(F.col("text")).alias("r")).select("doc_id", "r.passed", "r.severity", "r.score")
+
+
+QUERIES["model_granite"] = granite_judged
+judged_score = lambda risk: f"(l + {len(risk)}) % 100 / 100.0::DOUBLE"
+ORACLE["model_granite"] = f"""WITH t AS (SELECT doc_id, text, len((CASE WHEN doc_id % 2 = 0 THEN 'context' || lang ELSE '' END) || 'user' || (CASE WHEN doc_id % 3 = 0 THEN source ELSE 'User request' END) || 'assistant' || text) AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0::DOUBLE ELSE list_max([{judged_score('harm')}, CASE WHEN doc_id % 2 = 0 THEN {judged_score('groundedness')} END, CASE WHEN doc_id % 3 = 0 THEN {judged_score('answer_relevance')} END]) END AS p FROM t)
+SELECT doc_id, p < 0.5 AS passed, CASE WHEN p < 0.5 THEN 'low' WHEN p >= 0.8 THEN 'critical' WHEN p >= 0.6 THEN 'high' ELSE 'medium' END AS severity, {py_round('p', 4)} AS score FROM s"""
+
+
+def intent_rows(spark: SparkSession, sf: str, check: Check, text: Callable[[Column, Column], Column]) -> DataFrame:
+    rows = ses.history(turns(spark, sf), "conv_id", "turn")
+    return rows.select("conv_id", "turn", check.check_input(text(F.col("history"), F.col("text"))).alias("r")).select("conv_id", "turn", "r.passed", "r.severity", "r.score", F.array_join("r.matched_patterns", "|").alias("patterns"))
+
+
+LOCAL = m.LocalIntent(lambda t: F.create_map(F.lit("a"), F.length(t) % 100 / F.lit(100.0), F.lit("b"), F.length(t) % 70 / F.lit(70.0)), {"a": ("first", "critical"), "b": ("second", "high")})
+QUERIES["model_local_intent"] = lambda spark, sf: intent_rows(spark, sf, LOCAL, m.intent_window)
+ORACLE["model_local_intent"] = f"""WITH x AS (SELECT conv_id, turn, len(right(array_to_string(list_append(coalesce({HC}, []), '[user] ' || text), chr(10)), 1200)) AS l FROM conversations), s AS (SELECT conv_id, turn, l % 100 / 100.0::DOUBLE AS a, l % 70 / 70.0::DOUBLE AS b FROM x)
+SELECT conv_id, turn, greatest(a, b) < 0.6 AS passed, CASE WHEN a >= 0.6 THEN 'critical' WHEN b >= 0.6 THEN 'high' ELSE 'low' END AS severity, {py_round('greatest(a, b)', 3)} AS score,
+CASE WHEN a >= 0.6 AND b >= 0.6 THEN CASE WHEN a >= b THEN 'a|b' ELSE 'b|a' END WHEN a >= 0.6 THEN 'a' WHEN b >= 0.6 THEN 'b' ELSE '' END AS patterns FROM s"""
+REPLY = lambda said_: F.to_json(F.struct(F.when(F.size(said_) % 3 == 0, F.array(F.lit("fraud"))).alias("violations"), (F.length(said(said_)) % 100 / F.lit(100.0)).alias("risk_score"), F.lit("by length").alias("reasoning")))
+
+
+def intent_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return intent_rows(spark, sf, m.IntentModel(chat=REPLY, severities={"fraud": "critical"}, history=F.col("history")), lambda _, text: text)
+
+
+QUERIES["model_llm_intent"] = intent_judged
+LAST10 = "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+ORACLE["model_llm_intent"] = f"""WITH x AS (SELECT conv_id, turn, count(*) {LAST10} + 1 AS n, (coalesce(sum(len(role || text)) {LAST10}, 0) + len('user' || text)) % 100 / 100.0::DOUBLE AS p FROM conversations)
+SELECT conv_id, turn, n % 3 <> 0 AS passed, CASE WHEN n % 3 = 0 THEN 'critical' ELSE 'low' END AS severity, CASE WHEN n % 3 = 0 THEN greatest(0.5::DOUBLE, p) ELSE p END AS score, CASE WHEN n % 3 = 0 THEN 'fraud' ELSE '' END AS patterns FROM x"""
+verdict_query("custom_check", ColumnCheck("digits", lambda t: F.regexp_count(t, F.lit("[0-9]")) % 10 / F.lit(10.0), 0.5, "high"), seeded, "doc_id", "text", f"WITH {SEEDED_SQL}, s AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) % 10 / 10.0::DOUBLE AS score FROM seeded) SELECT doc_id, score < 0.5 AS passed, CASE WHEN score < 0.5 THEN 'low' ELSE 'high' END AS severity, score FROM s")
+marks = lambda: F.array(*[F.struct(F.col(x).alias("value"), F.lit(x).alias("label")) for x in ("lang", "source")])
+QUERIES["redact_values"] = lambda spark, sf: docs(spark, sf).select("doc_id", c.redact_values(F.col("text"), marks()).alias("fixed"))
+ORACLE["redact_values"] = "SELECT doc_id, replace(replace(text, lang, '[REDACTED:LANG]'), source, '[REDACTED:SOURCE]') AS fixed FROM documents"

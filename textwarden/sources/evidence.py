@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 
 DIRECTIONS = ("input", "output")
+OWASP_FINDINGS = "array<struct<category_id:string,category_name:string,risk_score:double,compliant:boolean>>"
+EU_FINDINGS = "array<struct<article:string,title:string,compliant:boolean,compliance_score:double,risk_level:string>>"
 
 
-def records(df: DataFrame, results: str = "check_results", direction: str = "input", session: str | None = None, ts: Column | None = None, meta: str | None = None) -> DataFrame:
-    """Evidence rows of check results: id, session_id, timestamp, direction, risk_score, passed, checks, meta and the partition dt."""
+def _found(findings: Column | None, kind: str) -> Column:
+    return F.lit(None).cast(kind) if findings is None else F.when(F.size(findings) > 0, findings.cast(kind))
+
+
+def records(df: DataFrame, results: str = "check_results", direction: str = "input", session: str | None = None, ts: Column | None = None, meta: str | None = None, owasp: Column | None = None, eu: Column | None = None) -> DataFrame:
+    """Evidence rows of check results: id, session_id, timestamp, direction, risk_score, passed, checks, findings, meta and the partition dt.
+
+    ``owasp`` and ``eu`` are each row's own findings (``compliance.row_owasp``, ``row_eu``); without any they are null.
+    """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     r = F.col(results)
@@ -24,6 +33,8 @@ def records(df: DataFrame, results: str = "check_results", direction: str = "inp
         F.coalesce(F.array_max(F.transform(r, lambda x: x["score"])), F.lit(0.0)).alias("risk_score"),
         F.forall(r, lambda x: x["passed"]).alias("passed"),
         r.alias("checks"),
+        _found(owasp, OWASP_FINDINGS).alias("owasp_findings"),
+        _found(eu, EU_FINDINGS).alias("eu_findings"),
         (F.col(meta) if meta else F.lit("{}")).alias("meta"),
         F.to_date(when).alias("dt"),
     )
@@ -35,7 +46,8 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All rows; parts that were written before a column was added have nulls in it."""
+    return spark.read.option("mergeSchema", True).parquet(path)
 
 
 def query(evidence: DataFrame, session_id: str | None = None, failed_only: bool = False, limit: int = 100) -> DataFrame:
@@ -54,9 +66,19 @@ def stats(evidence: DataFrame) -> DataFrame:
     return evidence.agg(total.alias("total"), failed.alias("failed"), rate.alias("pass_rate"), F.coalesce(rounded(F.avg("risk_score"), 3), F.lit(0.0)).alias("avg_risk_score"))
 
 
-def page(evidence: DataFrame, offset: int = 0, limit: int = 50, failed_only: bool = False) -> DataFrame:
+#: Rows that a page is looked for in at most when it is told by an offset.
+DEEPEST = 100_000
+
+
+def page(evidence: DataFrame, offset: int = 0, limit: int = 50, failed_only: bool = False, after: tuple | None = None) -> DataFrame:
+    """Latest first. ``after``: (timestamp, id) of the last row seen, from which a page costs the same at any depth; an offset is sorted through, so it has a bound."""
+    if not 0 <= offset <= DEEPEST:
+        raise ValueError(f"offset must be from 0 to {DEEPEST}; go on by after=(timestamp, id)")
     out = evidence.where("not passed") if failed_only else evidence
-    return out.orderBy(F.col("timestamp").desc(), "id").offset(offset).limit(limit)
+    if after:
+        ts, key = F.lit(after[0]), F.lit(after[1])
+        out = out.where((F.col("timestamp") < ts) | ((F.col("timestamp") == ts) & (F.col("id") > key)))
+    return out.orderBy(F.col("timestamp").desc(), "id").offset(offset).limit(max(1, min(limit, 10_000)))
 
 
 def sessions_with_failures(evidence: DataFrame) -> DataFrame:

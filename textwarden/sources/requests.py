@@ -17,10 +17,35 @@ PRIVATE_NETWORKS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/
 _SIX = {"::1/128": r"^[0:]*:(0{0,3}1|0[.]0[.]0[.]1)$", "fc00::/7": "^f[cd][0-9a-f]{2}:"}
 
 
+TOO_LARGE = 413
+
+
 def fits(body: Column) -> Column:
     return F.octet_length(body) <= MAX_BODY_BYTES
 
 
+def inspected(df: DataFrame, body: str = "body", method: str | None = None, content_type: str | None = None, length: str | None = None, session: str | None = None) -> DataFrame:
+    """Every request stays a row. Adds status (413 for a body, or an announced length, over the limit, else null), prompt and session_id.
+
+    Only POST and PUT of JSON are read; others, as bodies without a prompt, keep a null prompt and pass. The session is
+    the named column's, else the body's "session_id", else a new one; rows without a prompt have none. A refused body is not kept.
+    """
+    b = F.col(body)
+    read = F.lit(True)
+    if method:
+        read &= F.coalesce(F.col(method).isin("POST", "PUT"), F.lit(False))
+    if content_type:
+        read &= F.coalesce(F.contains(content_type, F.lit("application/json")), F.lit(False))
+    large = ~fits(b)
+    if length:
+        large = large | F.coalesce(F.col(length).try_cast("long") > MAX_BODY_BYTES, F.lit(False))
+    out = df.withColumn("status", F.when(read & large, TOO_LARGE)).withColumn(body, F.when(F.col("status").isNull(), b))
+    out = out.withColumn("prompt", F.when(read, F.nullif(prompt_text(F.col(body)), F.lit(""))))
+    own = [F.nullif(F.col(session).cast("string"), F.lit(""))] if session else []
+    known = F.coalesce(*own, F.nullif(F.get_json_object(body, "$.session_id"), F.lit("")), F.uuid())
+    return out.withColumn("session_id", F.when(F.col("prompt").isNotNull(), known))
+
+
 def _items(body: Column, path: str) -> Column:
     """A JSON list as array of JSON strings; null if it is none."""
     raw = F.get_json_object(body, path)
@@ -122,6 +147,5 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def body_stream(spark: SparkSession, path: str) -> DataFrame:
-    """JSON request bodies, one a line, as a stream of (body, prompt); bodies over the size limit are left out, those without a prompt keep a null."""
-    rows = spark.readStream.text(path).select(F.col("value").alias("body"))
-    return rows.where(fits(F.col("body"))).withColumn("prompt", prompt_text(F.col("body")))
+    """JSON request bodies, one a line, as a stream of (body, status, prompt, session_id); see ``inspected``."""
+    return inspected(spark.readStream.text(path).select(F.col("value").alias("body")))
