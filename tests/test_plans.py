@@ -306,3 +306,19 @@ def test_verdict_cases(spark):
     assert len(got) == len(CASES) and {c for _, c, _, _ in CASES} == {"injection", "pii", "tool_abuse", "transfer", "output_safety", "resilience", "audit"}
     wrong = [(i, r.guard.blocked_by) for i, r in got.items() if r.expected != "ambiguous" and r.guard.allowed != (r.expected == "allowed")]
     assert wrong == []
+
+
+def test_late_turns_take_their_place(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [[("s", at(0), "user", "a"), ("s", at(10), "user", "c"), ("s", at(50), "user", "d")], [("s", at(5), "user", "b"), ("s", at(11), "user", "e"), ("s", at(51), None, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "session_id string, ts timestamp, role string, content string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("session_id string, ts timestamp, role string, content string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)  # else timeouts keep the query alive
+    q = ses.history_stream(source).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    ended = q.awaitTermination(60)
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert ended
+    got = {r.content: [t.content for t in r.history] for r in spark.table("late").collect()}
+    assert got == {"a": [], "c": ["a"], "d": [], "b": ["a"], "e": ["a", "b", "c"], None: ["d"]}

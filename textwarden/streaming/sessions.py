@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,31 +35,37 @@ def idle_sessions(events: DataFrame, key: str, ts: str, ttl_seconds: int = TTL_S
 
 
 def history_stream(turns: DataFrame, session: str = "session_id", max_turns: int = MAX_TURNS, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """The same history over a stream of (session, ts, role, content): each turn with the turns before it.
+    """The same history over a stream of (session, ts, role, content): each turn with the turns before it by ts.
 
-    State is at most ``max_turns`` turns a session and goes when a session has been idle; turns of a batch are taken in the order of ts.
+    State is at most ``2 * max_turns`` turns a session, the newest, and goes when a session has been idle. A turn that comes in a later batch
+    than turns after it is put in its place: it gets the kept turns before it, and what was given out already stays. An idle time of
+    more than ``ttl_seconds`` ends a history. A turn without a ts counts as the newest. Under an availableNow trigger over several batches,
+    switch ``spark.sql.streaming.noDataMicroBatches.enabled`` off: empty batches that look for idle sessions keep the query from ending.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        past, last = state.get if state.exists else ([], None)
-        past = [tuple(p) for p in past]
+        past = [tuple(p) for p in state.get[0]] if state.exists else []
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         out = []
         for ts, role, content in zip(rows["ts"], rows["role"], rows["content"], strict=True):
-            now = int(ts.timestamp() * 1000)
-            if last is not None and now - last > ttl_seconds * 1000:
-                past = []
-            out.append((key[0], ts, role, content, [{"role": r, "content": c} for r, c in past]))
-            past, last = [*past, (role, content)][-max_turns:], now
-        state.update((past, last))
+            now = round(ts.timestamp() * 1_000_000) if not pd.isna(ts) else past[-1][0] if past else 0
+            at = bisect_right(past, now, key=lambda p: p[0])
+            first, after = at, now
+            while first and at - first < max_turns and after - past[first - 1][0] <= ttl_seconds * 1_000_000:
+                first -= 1
+                after = past[first][0]
+            out.append((key[0], ts, role, content, [{"role": r, "content": c} for _, r, c in past[first:at]]))
+            past.insert(at, (now, role, content))
+            past = past[-2 * max_turns :]
+        state.update((past,))
         state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=[session, "ts", "role", "content", "history"])
 
     kind = dict(turns.dtypes)[session]
-    return turns.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, ts timestamp, role string, content string, history {TURN}", f"past {TURN}, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, ts timestamp, role string, content string, history {TURN}", "past array<struct<at:long,role:string,content:string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_stats(evidence: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
