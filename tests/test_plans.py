@@ -188,8 +188,12 @@ def test_history_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "session_id string, ts timestamp, role string, content string")
     df.write.parquet(f"{tmp_path}/in")
     stream = ses.history_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), max_turns=5)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)  # else timeouts keep the query alive
     q = stream.writeStream.format("memory").queryName("hist").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    ended = q.awaitTermination(120)
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert ended
     key = lambda r: (r.session_id, str(r.ts), r.content, [t.content for t in r.history])
     batch = ses.history(df, "session_id", "ts", content="content", max_turns=5)
     assert sorted(map(key, spark.table("hist").collect())) == sorted(map(key, batch.collect()))
