@@ -100,6 +100,13 @@ def test_sql(spark):
     assert run(spark, f.ValidSql(["create table t (a int)"]), ["select * from t"])[0].passed
 
 
+def test_python_too_deep(spark):
+    """Texts that overflow the compiler's stacks, prose among them, get a verdict."""
+    got = run(spark, f.ValidPython(), ["so " + "de " * 9000, "-" * 100_000 + "1", "1" + "+1" * 100_000, "x = 1"])
+    assert scores(got) == [(False, 1.0, "high")] * 3 + [(True, 0.0, "low")]
+    assert all(json.loads(r.details)["error"] and json.loads(r.details)["line"] == 0 for r in got[:3])
+
+
 def test_format_repairs(spark):
     assert run(spark, f.OneLine(), [" a \n\n b", None], fix=True) == ["a b", ""]
     assert run(spark, f.Uppercase(), ["aß"], fix=True) == ["ASS"] and run(spark, f.Lowercase(), ["ÄB"], fix=True) == ["äb"]

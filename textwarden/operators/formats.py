@@ -46,6 +46,7 @@ def html_error(text: str) -> str | None:
 
 
 def python_error(text: str) -> str | None:
+    """What the compiler says against a text. One that is nested too deeply for it to read or translate is refused as well; a lack of memory stays an error."""
     import re
     import warnings
 
@@ -55,7 +56,9 @@ def python_error(text: str) -> str | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(code, "<text>", "exec")
-    except (SyntaxError, ValueError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        if isinstance(e, MemoryError) and "too complex" not in str(e):
+            raise
         return f"{getattr(e, 'lineno', None) or 0}:{e}"
     return None
 
