@@ -7,6 +7,7 @@ expression, and with it hundreds of pattern searches, into each of its uses.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -24,6 +25,35 @@ def rx(pattern: str, flags: str = "i") -> str:
     return f"(?{flags}uUd)" + pattern
 
 
+_TOKEN = re.compile(r"\\.|\(\?[A-Za-z]*[:=!)]|\[\^?|.", re.DOTALL)
+_FOLDS = {"s": "\u017f", "k": "\u212a"}  # what equals an ASCII letter but for its case, and is none
+
+
+def rx_ascii(pattern: str, flags: str = "i") -> str:
+    """A pattern as RE2 reads it, which DuckDB uses: words, digits and white space are ASCII,
+    so a word ends before an accented letter; case is folded as in ``rx`` but for the dotless and the dotted i."""
+    out, members = [], None
+    for token in _TOKEN.findall(pattern):
+        if members is not None and token != "]":
+            members.append(token)
+        elif members is not None:
+            listed = re.compile("[" + "".join(members) + "]", re.IGNORECASE | re.ASCII)
+            out.append("".join(r"\t\n\f\r " if m == r"\s" else m for m in members) + "".join(x for c, x in _FOLDS.items() if "i" in flags and listed.match(c)) + "]")
+            members = None
+        elif token[0] == "[":
+            out.append(token)
+            members = []
+        elif token == r"\b":
+            out.append(r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+        elif token == r"\s":
+            out.append(r"[\t\n\f\r ]")
+        elif "i" in flags and (token == r"\w" or token.lower() in _FOLDS):
+            out.append(f"[{token}{_FOLDS.get(token.lower()) or ''.join(_FOLDS.values())}]")
+        else:
+            out.append(token)
+    return f"(?{flags}d)" + "".join(out)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -46,9 +76,9 @@ def gate(folded: Column, pattern: str) -> Column | None:
     return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(holds, sorted(x))) for x in sets])
 
 
-def matches(text: Column, folded: Column, pattern: str, flags: str = "i") -> Column:
-    """Whether a pattern matches; ``folded`` is fold_case(text), bound once by the caller."""
-    test, open_ = text.rlike(rx(pattern, flags)), gate(folded, pattern)
+def matches(text: Column, folded: Column, pattern: str, flags: str = "i", read: Callable[[str, str], str] = rx) -> Column:
+    """Whether a pattern matches; ``folded`` is fold_case(text), bound once by the caller; ``read`` is rx or rx_ascii."""
+    test, open_ = text.rlike(read(pattern, flags)), gate(folded, pattern)
     return test if open_ is None else open_ & test
 
 

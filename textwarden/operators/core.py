@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import rules as R
-from ..functions.text import any_of, count_matches, fold_case, let, matches, rounded, rx, sentences, strip, text_or_empty, words
+from ..functions.text import any_of, count_matches, fold_case, let, matches, rounded, rx, rx_ascii, sentences, strip, text_or_empty, words
 from .base import RANK, Check, json_of, labels, renamed, rule_hits, scale, severity_name, top_rank
 
 STRICT = (0.2, 0.5, 0.75, 1.0)
@@ -51,24 +51,26 @@ class PromptInjection(Check):
 
 
 class PersonalData(Check):
+    """``ascii_words``: patterns read as RE2 does (see ``rx_ascii``), not as Python's re; ``fix`` always goes by the latter."""
+
     name = "pii_detection"
     owasp = ("LLM06",)
     eu = ("Article 10", "Article 13")
     advice = "Remove or mask personal data before the text goes on."
     has_fix = True
 
-    def __init__(self, threshold: float = 0.3) -> None:
-        self.threshold = threshold
+    def __init__(self, threshold: float = 0.3, ascii_words: bool = False) -> None:
+        self.threshold, self.read = threshold, rx_ascii if ascii_words else rx
 
     def found(self, text: Column) -> Column:
         """array<struct<type, severity, count, eu_risk_level, sample, rank>> of the rules that match."""
 
         def one(low: Column, p: str, label: str, s: str, risk: str) -> Column:
-            pattern = rx(p, "im")
+            pattern = self.read(p, "im")
             group = 1 if "(authorization|auth)" in p else 0  # a sample is the rule's group where it has one
             sample = F.concat(F.substring(F.regexp_extract(text, pattern, group), 1, 6), F.lit("***"))
             row = F.struct(F.lit(label).alias("type"), F.lit(s).alias("severity"), count_matches(text, pattern).alias("count"), F.lit(risk).alias("eu_risk_level"), sample.alias("sample"), F.lit(RANK[s]).alias("rank"))
-            return F.when(matches(text, low, p, "im"), row)
+            return F.when(matches(text, low, p, "im", self.read), row)
 
         return let(fold_case(text), lambda low: F.filter(F.array(*[one(low, *x) for x in R.PII]), lambda h: h.isNotNull()))
 
