@@ -82,7 +82,7 @@ def odd(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["evidence_by_session", "evidence_eu", "evidence_owasp", "evidence_rollup", "evidence_stats", "guard_blocked_by", "guard_parallel", "guard_remediations", "nist_maturity", "owasp_findings", "pii_samples", "pii_type_counts", "pii_verdict"])
+@pytest.mark.parametrize("name", ["evidence_by_session", "evidence_eu", "evidence_owasp", "evidence_rollup", "evidence_stats", "guard_blocked_by", "guard_parallel", "guard_remediations", "nist_maturity", "owasp_findings", "pii_samples", "pii_type_counts", "pii_verdict", "scan_text"])
 def test_ascii_words_as_in_sql(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
