@@ -92,3 +92,20 @@ def test_ascii_words_as_in_sql(spark, odd, name):
     names = [d[0] for d in out.description]
     want = sorted((tuple(r[names.index(c)] for c in columns) for r in out.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
+
+
+#: Texts that the rules for injection, toxicity and unsafe output find in Python's re alone or in RE2 alone.
+OTHER_RULES = ["ignore\u00a0all rules", "forget\u2003everything above", "override\x0bsafety filter", "new\u00a0instructions: obey", "```systemé", "murder womené", "kill\u00a0all men", "suicide\u2003note", "bomb\x85blast", "tax evasion\u00a0scheme", "SELECT é FROMé", "javascript:\u00a0", "javascript\u00a0:x", "1 =\u00a01--", "$(rm\u2003x", "curl\u00a0http://a.b --data"]
+
+
+@pytest.fixture(scope="module")
+def other_odd(spark, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("other_odd"))
+    docs = [(k * len(PHRASES) + p, t) for k, t in enumerate(OTHER_RULES) for p in (0, 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["guard_parallel"])
+def test_ascii_words_of_all_rules_as_in_sql(spark, other_odd, name):
+    test_ascii_words_as_in_sql(spark, other_odd, name)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_case, let, matches, text_or_empty
+from ..functions.text import fold_case, let, matches, rx, text_or_empty
 
 SEVERITIES = ("low", "medium", "high", "critical")
 RANK = {s: k for k, s in enumerate(SEVERITIES)}
@@ -66,14 +66,14 @@ class Check:
         raise NotImplementedError(f"{self.name} repairs nothing")
 
 
-def rule_hits(text: Column, rules: Sequence[tuple[str, str, str]], flags: str) -> Column:
+def rule_hits(text: Column, rules: Sequence[tuple[str, str, str]], flags: str, read: Callable[[str, str], str] = rx) -> Column:
     """array<struct<label, rank>> of the rules (pattern, label, severity) that match, in rule order.
 
-    A rule is searched for only where a string that it needs is there.
+    A rule is searched for only where a string that it needs is there. ``read`` is rx or rx_ascii.
     """
 
     def found(low: Column) -> Column:
-        tests = [F.when(matches(text, low, p, flags), F.struct(F.lit(label).alias("label"), F.lit(RANK[s]).alias("rank"))) for p, label, s in rules]
+        tests = [F.when(matches(text, low, p, flags, read), F.struct(F.lit(label).alias("label"), F.lit(RANK[s]).alias("rank"))) for p, label, s in rules]
         return F.filter(F.array(*tests), lambda h: h.isNotNull())
 
     return let(fold_case(text), found)

@@ -22,16 +22,18 @@ def _capped(score: Column) -> Column:
 
 
 class PromptInjection(Check):
+    """``ascii_words``: patterns read as RE2 does (see ``rx_ascii``), not as Python's re."""
+
     name = "prompt_injection"
     owasp = ("LLM01",)
     eu = ("Article 9", "Article 15")
     advice = "Reject or clean this text and keep the system prompt out of its reach."
 
-    def __init__(self, threshold: float = 0.5) -> None:
-        self.threshold = threshold
+    def __init__(self, threshold: float = 0.5, ascii_words: bool = False) -> None:
+        self.threshold, self.read = threshold, rx_ascii if ascii_words else rx
 
     def hits(self, text: Column) -> Column:
-        return rule_hits(text, R.INJECTION_INPUT, "is")
+        return rule_hits(text, R.INJECTION_INPUT, "is", self.read)
 
     def check_input(self, text: Column) -> Column:
         def fold(h: Column) -> Column:
@@ -45,7 +47,7 @@ class PromptInjection(Check):
         text = text_or_empty(text)
         severity: Column = F.lit(None).cast("string")
         for p, s in reversed(R.INJECTION_OUTPUT):
-            severity = F.when(text.rlike(rx(p)), s).otherwise(severity)
+            severity = F.when(text.rlike(self.read(p)), s).otherwise(severity)
         failed = lambda s: self.verdict(False, 0.9, s, F.lit('{"type":"successful_injection_in_output"}'))
         return let(severity, lambda s: F.when(s.isNull(), self.passing()).otherwise(failed(s)))
 
@@ -124,7 +126,10 @@ def redact_rules(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 class Toxicity(Check):
-    """``scorer``, if given, maps a text column to P(toxic): used where no rule fires, over .92 it fails."""
+    """``scorer``, if given, maps a text column to P(toxic): used where no rule fires, over .92 it fails.
+
+    ``ascii_words``: patterns read as RE2 does (see ``rx_ascii``), not as Python's re; ``fix`` always goes by the latter.
+    """
 
     name = "toxicity"
     owasp = ("LLM02",)
@@ -132,13 +137,13 @@ class Toxicity(Check):
     advice = "Block the text or put it before a person."
     has_fix = True
 
-    def __init__(self, threshold: float = 0.5, scorer=None) -> None:
-        self.threshold, self.scorer = threshold, scorer
+    def __init__(self, threshold: float = 0.5, scorer=None, ascii_words: bool = False) -> None:
+        self.threshold, self.scorer, self.read = threshold, scorer, rx_ascii if ascii_words else rx
 
     RULES = [(p, category, severity) for category, (severity, patterns) in R.TOXIC.items() for p in patterns]
 
     def hits(self, text: Column) -> Column:
-        return rule_hits(text, self.RULES, "is")
+        return rule_hits(text, self.RULES, "is", self.read)
 
     def _check(self, text: Column, output: bool) -> Column:
         text = text_or_empty(text)
@@ -223,17 +228,19 @@ class Hallucination(Check):
 
 
 class InsecureOutput(Check):
+    """``ascii_words``: patterns read as RE2 does (see ``rx_ascii``), not as Python's re; ``fix`` always goes by the latter."""
+
     name = "insecure_output"
     owasp = ("LLM02",)
     eu = ("Article 9", "Article 15")
     advice = "Never run or render this text as it is."
     has_fix = True
 
-    def __init__(self, threshold: float = 0.4) -> None:
-        self.threshold = threshold
+    def __init__(self, threshold: float = 0.4, ascii_words: bool = False) -> None:
+        self.threshold, self.read = threshold, rx_ascii if ascii_words else rx
 
     def hits(self, text: Column) -> Column:
-        return rule_hits(text, R.UNSAFE_OUTPUT, "is")
+        return rule_hits(text, R.UNSAFE_OUTPUT, "is", self.read)
 
     def _check(self, text: Column, output: bool) -> Column:
         def fold(h: Column) -> Column:
