@@ -106,6 +106,6 @@ def other_odd(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["guard_parallel", "evidence_eu", "evidence_owasp", "evidence_rollup", "evidence_stats", "guard_blocked_by", "guard_remediations"])
+@pytest.mark.parametrize("name", ["guard_parallel", "evidence_eu", "evidence_owasp", "evidence_rollup", "evidence_stats", "guard_blocked_by", "guard_remediations", "owasp_findings"])
 def test_ascii_words_of_all_rules_as_in_sql(spark, other_odd, name):
     test_ascii_words_as_in_sql(spark, other_odd, name)
